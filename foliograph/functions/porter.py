@@ -64,7 +64,7 @@ def stem_token(word: str) -> str:
     if not 3 <= len(word.encode()) <= 64:
         return word
     if word.endswith("s"):
-        if word.endswith(("sses", "ies")):
+        if any(word.endswith(x) and len(word) > len(x) for x in ("sses", "ies")):
             word = word[:-2]
         elif not word.endswith("ss"):
             word = word[:-1]
