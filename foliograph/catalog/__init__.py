@@ -1,6 +1,6 @@
 """All registered queries with their oracles."""
 
-from foliograph.catalog import graphs, parsing  # noqa: F401
+from foliograph.catalog import graphs, parsing, search  # noqa: F401
 from foliograph.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliograph.session import configure
+from foliograph.session import configure, spread
 from foliograph.sources import derived
 
 
@@ -19,7 +19,9 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name == "web_pages":
-            return derived.table(self.spark, self.sf_dir, "pages")
+            return spread(derived.table(self.spark, self.sf_dir, "pages"))
+        if name in ("documents", "conversations"):
+            return spread(derived.table(self.spark, self.sf_dir, name))
         if name in derived.TABLES:
             return derived.table(self.spark, self.sf_dir, name)
         return derived.relation(self.spark, self.sf_dir, name)

@@ -192,3 +192,50 @@ def with_ctes(names: list[str], sql: str) -> str:
     if body_sql.upper().startswith("WITH "):
         return "WITH " + ",\n".join(parts) + ",\n" + body_sql[5:]
     return "WITH " + ",\n".join(parts) + "\n" + body_sql
+
+
+def tokens(x: str) -> str:
+    return rf"regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}]+')"
+
+
+def _pairs(t: str) -> str:
+    return f"list_transform(range(1, len({t})), lambda i: {t}[i] || ' ' || {t}[i + 1])"
+
+
+def bm25_ctes(key: str, docs: str, queries: str) -> dict[str, str]:
+    """Oracle relations of a BM25 run over docs(key, f_name, f_type, f_tags, f_content)."""
+    cols = (("f_name", 10.0), ("f_type", 3.0), ("f_tags", 5.0), ("f_content", 1.0))
+    tok = "\nUNION ALL ".join(
+        f"SELECT {key}, {w} AS w, unnest({g}) AS term FROM toks" for c, w in cols for g in (c, _pairs(c))
+    )
+    return {
+        "toks": f"SELECT {key}, {', '.join(f'{tokens(c)} AS {c}' for c, _ in cols)} FROM ({docs})",
+        "lens": f"SELECT {key}, {' + '.join(f'len({c})' for c, _ in cols)} AS dl FROM toks",
+        "stat": "SELECT count(*) AS n, avg(dl) AS avgdl FROM lens",
+        "qw": rf"SELECT query_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS word FROM ({queries})",
+        "qt": rf"SELECT query_id, term, count(*) AS times FROM (SELECT query_id, array_to_string(regexp_extract_all(word, '[\p{{L}}\p{{N}}]+'), ' ') AS term FROM qw) WHERE term <> '' GROUP BY ALL",
+        "tok": tok,
+        "post": f"SELECT {key}, term, sum(w) AS f FROM tok WHERE term IN (SELECT term FROM qt) GROUP BY ALL",
+        "idf": "SELECT term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END AS idf FROM (SELECT term, count(*) AS df FROM post GROUP BY 1), stat",
+        "scored": f"SELECT query_id, {key}, sum(times * idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score "
+        f"FROM qt JOIN idf USING (term) JOIN post USING (term) JOIN lens USING ({key}), stat GROUP BY query_id, {key}",
+    }
+
+
+_WIKI_DOCS = (
+    rf"SELECT subdir, name, name AS f_name, {trim(rf'''regexp_extract({fm()}, 'type:\s*([^\n]+)', 1)''')} AS f_type, "
+    rf"{trim(rf'''regexp_extract({fm()}, 'tags:\s*\[([^\]]*)\]', 1)''')} AS f_tags, {body()} AS f_content FROM wiki"
+)
+CTES.update(bm25_ctes("subdir, name", _WIKI_DOCS, "SELECT * FROM questions"))
+CTES.update({
+    "hits": "SELECT * FROM (SELECT query_id, subdir, name, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, name, subdir) AS rank FROM scored) WHERE rank <= 40",
+    "seeds": "SELECT query_id, name, count(*) AS times FROM hits WHERE rank <= 10 GROUP BY ALL",
+    "near": "SELECT s.query_id, n.b AS name, sum(s.times) AS hits FROM seeds s JOIN nbrs n ON s.name = n.a WHERE NOT EXISTS (SELECT 1 FROM seeds x WHERE x.query_id = s.query_id AND x.name = n.b) GROUP BY ALL",
+    "near_ranked": "SELECT query_id, name, hits, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, name) AS rank FROM near",
+    "fused": "SELECT query_id, name, sum(1.0 / (60 + rank)) AS score FROM (SELECT query_id, name, rank FROM hits UNION ALL SELECT query_id, name, rank FROM near_ranked) GROUP BY ALL",
+    "found": "SELECT * FROM (SELECT query_id, name, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, name) AS rank FROM fused) WHERE rank <= 20",
+    "loaded": "SELECT f.query_id, f.rank, f.name, u.subdir, u.content, row_number() OVER w AS place, sum(length(u.content)) OVER (w ROWS UNBOUNDED PRECEDING) AS chars FROM found f JOIN uniq u USING (name) WINDOW w AS (PARTITION BY f.query_id ORDER BY u.subdir <> 'sources', f.rank)",
+})
+_MATERIALIZED.update({"toks", "post", "scored", "hits", "found", "loaded", "near", "nbrs"})
+BM25 = "wiki questions toks lens stat qw qt tok post idf scored"
+SEARCH = BM25 + " hits uniq uocc ulinks keys edges nbrs seeds near near_ranked fused found"

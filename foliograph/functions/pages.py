@@ -6,23 +6,32 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from foliograph import constants as K
-from foliograph.functions.text import let, ltrim_ws, squeeze_ws, trim_ws
+from foliograph.functions.text import let, squeeze_ws, trim_ws
 
 
 # --- front matter -------------------------------------------------------------------------
 
 
+def _close(content: Column) -> Column:
+    """Position of the line break that starts the closing marker, 0 without a front matter."""
+    end = F.locate(K.FRONTMATTER_CLOSE, content, len(K.FRONTMATTER_OPEN) + 1)
+    return F.when(F.startswith(content, F.lit(K.FRONTMATTER_OPEN)), end).otherwise(0)
+
+
 def has_frontmatter(content: Column) -> Column:
-    return content.rlike(K.FRONTMATTER)
+    return _close(content) > 0
 
 
 def frontmatter(content: Column) -> Column:
-    return F.regexp_extract(content, K.FRONTMATTER, 1)
+    start = len(K.FRONTMATTER_OPEN) + 1
+    inside = F.substring(content, F.lit(start), _close(content) - start)
+    return F.when(has_frontmatter(content), inside).otherwise("")
 
 
 def raw_body(content: Column) -> Column:
     """Everything after the front matter, untrimmed."""
-    return F.regexp_replace(content, K.FRONTMATTER, "")
+    rest = F.substring(content, _close(content) + len(K.FRONTMATTER_CLOSE), F.length(content))
+    return F.when(has_frontmatter(content), rest).otherwise(content)
 
 
 def body(content: Column) -> Column:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from foliograph import constants as K
 from foliograph.functions import pages as P
 from foliograph.functions.text import node_radius
-from foliograph.operators.grouping import last_row
 
 
 def subdir_rank(subdir: Column) -> Column:
@@ -17,8 +16,15 @@ def subdir_rank(subdir: Column) -> Column:
 
 
 def unique_pages(pages: DataFrame) -> DataFrame:
-    """One page per name; a later page kind replaces an earlier one."""
-    return last_row(pages, ["name"], subdir_rank(F.col("subdir")))
+    """One page per name; a later page kind replaces an earlier one.
+
+    Only names are grouped. Page texts meet the short list of colliding names and are not
+    shuffled while Spark measures that list as small enough to broadcast.
+    """
+    ranked = pages.groupBy("name").agg(F.max(subdir_rank(F.col("subdir"))).alias("top"), F.count("*").alias("n"))
+    colliding = ranked.filter(F.col("n") > 1).select("name", "top")
+    kept = F.col("top").isNull() | (subdir_rank(F.col("subdir")) == F.col("top"))
+    return pages.join(colliding, "name", "left").filter(kept).select(*pages.columns)
 
 
 def page_keys(pages: DataFrame) -> DataFrame:

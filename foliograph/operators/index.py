@@ -27,13 +27,13 @@ def analyzer(stemmed: bool):
 
 
 def searchable(pages: DataFrame) -> DataFrame:
-    """The four indexed fields of every page, one row per page file."""
+    """The four indexed fields of every page, one row per page file (outer blanks hold no tokens)."""
     return pages.select(
         "subdir",
         "name",
         P.searched_type(F.col("content")).alias("type"),
         P.searched_tags(F.col("content")).alias("tags"),
-        P.body(F.col("content")).alias("content"),
+        P.raw_body(F.col("content")).alias("content"),
     )
 
 
@@ -45,22 +45,26 @@ def analysed(docs: DataFrame, keys: Sequence[str], stemmed: bool = False) -> Dat
 
 
 def grams(tokens: Column, n: int) -> Column:
-    """Adjacent n-token phrases, one per position."""
-    if n == 1:
-        return tokens
-    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1)))
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+    """Adjacent n-token phrases; the positions too close to the end give NULL."""
+    phrase = tokens
+    for offset in range(2, n + 1):
+        shifted = F.slice(tokens, offset, F.greatest(F.size(tokens), F.lit(1)))
+        phrase = F.zip_with(phrase, shifted, lambda a, b: F.concat(a, F.lit(" "), b))
+    return phrase
 
 
 def term_rows(docs: DataFrame, keys: Sequence[str], phrase_lengths: Sequence[int] = (1,)) -> DataFrame:
     """(keys, dl, term, weight): one row per token or phrase occurrence."""
-    weighted = [
-        F.transform(grams(F.col(f"t_{f}"), n), lambda t, w=K.BM25_WEIGHTS[f]: F.struct(t.alias("term"), F.lit(w).alias("weight")))
-        for f in FIELDS
-        for n in phrase_lengths
-    ]
-    entries = F.concat(*[F.coalesce(w, F.array().cast("array<struct<term:string,weight:double>>")) for w in weighted])
-    return docs.select(*keys, "dl", F.inline(entries))
+    fields = F.array(
+        *[
+            F.struct(F.lit(K.BM25_WEIGHTS[f]).alias("weight"), grams(F.col(f"t_{f}"), n).alias("terms"))
+            for f in FIELDS
+            for n in phrase_lengths
+        ]
+    )
+    per_field = docs.select(*keys, "dl", F.inline(fields))
+    rows = per_field.select(*keys, "dl", "weight", F.explode("terms").alias("term"))
+    return rows.filter(F.col("term").isNotNull()) if max(phrase_lengths) > 1 else rows
 
 
 def postings(docs: DataFrame, keys: Sequence[str], phrase_lengths: Sequence[int] = (1,)) -> DataFrame:
@@ -74,6 +78,11 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
+def stats_value(stats: DataFrame) -> Column:
+    """Both statistics as one scalar subquery, so the corpus is measured once per plan."""
+    return stats.select(F.struct("n_docs", "avgdl")).scalar()
+
+
 def raw_file_index(pages: DataFrame) -> DataFrame:
     """(filename, source_page, source_hash) from the markers of source pages; the last page wins."""
     rows = pages.filter(F.col("subdir") == "sources").select(

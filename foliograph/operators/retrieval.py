@@ -16,7 +16,8 @@ from foliograph.functions import pages as P
 from foliograph.functions.text import trim_ws
 from foliograph.operators import graph
 from foliograph.operators.grouping import top_k
-from foliograph.operators.index import analysed, analyzer, corpus_stats, postings, searchable, term_rows
+from foliograph.session import persist_durably
+from foliograph.operators.index import analysed, analyzer, corpus_stats, postings, searchable, stats_value, term_rows
 
 
 def query_terms(queries: DataFrame, stemmed: bool = False) -> DataFrame:
@@ -43,8 +44,9 @@ def phrase_lengths(queries: DataFrame) -> list[int]:
 
 def weights(terms: DataFrame, stats: DataFrame, hits: DataFrame, key: Sequence[str]) -> DataFrame:
     """(query_id, term, weight): times the inverse document frequency over the matching postings."""
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    n = stats.select("n_docs").scalar()
+    # Counting positive frequencies reads the columns scoring reads, so both share one shuffle.
+    df = hits.groupBy("term").agg(F.count_if(F.col("f") > 0).alias("df"))
+    n = stats_value(stats)["n_docs"]
     idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     floored = F.when(idf <= 0, F.lit(K.BM25_MIN_IDF)).otherwise(idf)
     return terms.join(df, "term").select("query_id", "term", (F.col("times") * floored).alias("weight"))
@@ -52,7 +54,7 @@ def weights(terms: DataFrame, stats: DataFrame, hits: DataFrame, key: Sequence[s
 
 def score(terms: DataFrame, hits: DataFrame, stats: DataFrame, key: Sequence[str]) -> DataFrame:
     """(query_id, key, score): BM25 summed over the phrases of each query."""
-    avgdl = stats.select("avgdl").scalar()
+    avgdl = stats_value(stats)["avgdl"]
     norm = K.BM25_K1 * (1 - K.BM25_B + K.BM25_B * F.col("dl") / avgdl)
     saturated = F.col("f") * (K.BM25_K1 + 1) / (F.col("f") + norm)
     scored = hits.select(*key, "term", saturated.alias("part"))
@@ -92,7 +94,7 @@ def per_term_best(queries: DataFrame, docs: DataFrame, stemmed: bool = False) ->
     tokens = analysed(docs, ["subdir", "name"], stemmed)
     hits = matching_postings(tokens, each, ["subdir", "name"])
     stats = corpus_stats(tokens)
-    avgdl = stats.select("avgdl").scalar()
+    avgdl = stats_value(stats)["avgdl"]
     norm = K.BM25_K1 * (1 - K.BM25_B + K.BM25_B * F.col("dl") / avgdl)
     part = F.col("f") * (K.BM25_K1 + 1) / (F.col("f") + norm)
     joined = hits.select("name", "term", part.alias("part")).join(weights(each, stats, hits, ["name"]), "term")
@@ -108,15 +110,16 @@ def expansion_hits(seeds: DataFrame, pages: DataFrame) -> DataFrame:
     ``hits`` counts seeds, a seed listed twice counting twice. Only edges that touch a seed are
     made symmetric, never the whole graph.
     """
-    links = graph.edges(pages).select("src", "dst")
-    counted = seeds.groupBy("query_id", "name").agg(F.count("*").alias("times"))
-    forward = counted.join(links, counted["name"] == links["src"]).select(
-        "query_id", F.col("name").alias("seed"), "times", F.col("dst").alias("neighbour")
-    )
-    backward = counted.join(links, counted["name"] == links["dst"]).select(
-        "query_id", F.col("name").alias("seed"), "times", F.col("src").alias("neighbour")
+    links = graph.edges(pages).select(
+        F.inline(
+            F.array(
+                F.struct(F.col("src").alias("name"), F.col("dst").alias("neighbour")),
+                F.struct(F.col("dst").alias("name"), F.col("src").alias("neighbour")),
+            )
+        )
     )
-    touched = forward.unionByName(backward).distinct()
+    counted = seeds.groupBy("query_id", "name").agg(F.count("*").alias("times"))
+    touched = counted.join(links, "name").distinct()
     hits = touched.groupBy("query_id", F.col("neighbour").alias("name")).agg(F.sum("times").alias("hits"))
     return hits.join(counted, ["query_id", "name"], "left_anti")
 
@@ -160,7 +163,7 @@ def search(queries: DataFrame, pages: DataFrame, k: int = K.TOP_K, expand: bool
 
 def search_docs(queries: DataFrame, docs: DataFrame, pages: DataFrame | None, k: int = K.TOP_K, expand: bool = True,
                 stemmed: bool = True, lengths: Sequence[int] = (1,)) -> DataFrame:
-    hits = ranked(bm25(queries, docs, stemmed=stemmed, lengths=lengths), 2 * k)
+    hits = persist_durably(ranked(bm25(queries, docs, stemmed=stemmed, lengths=lengths), 2 * k), "hits")
     return finish(hits, pages, k, expand)
 
 
@@ -172,7 +175,8 @@ def finish(hits: DataFrame, pages: DataFrame | None, k: int, expand: bool) -> Da
     rankings = [hits]
     if pages is not None:
         seeds = hits.filter(F.col("rank") <= K.SEED_COUNT).select("query_id", "name")
-        found = expansion_hits(seeds, graph.unique_pages(pages.select("subdir", "name", "content")))
+        unique = graph.unique_pages(pages.select("subdir", "name", "content"))
+        found = persist_durably(expansion_hits(seeds, unique), "expansion")
         rankings.append(expansion_ranks(found, hits, k))
     return top_k(fuse(*rankings), ["query_id"], order, k).select("query_id", "name", "score", "rank")
 
@@ -183,7 +187,7 @@ def search_index(queries: DataFrame, docs: DataFrame, pages: DataFrame, k: int =
     terms = query_terms(queries, stemmed)
     vocabulary = terms.select("term").distinct()
     rows = docs.select("subdir", "name", "dl", F.inline("terms")).join(vocabulary, "term", "left_semi")
-    hits = ranked(score(terms, rows, corpus_stats(docs), ["subdir", "name"]), 2 * k)
+    hits = persist_durably(ranked(score(terms, rows, corpus_stats(docs), ["subdir", "name"]), 2 * k), "hits")
     return finish(hits, pages, k, expand)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
@@ -44,19 +46,33 @@ def local_session(cores: int | str = "*", app: str = "foliograph", **extra: str)
 
 
 def shared_dir(spark: SparkSession) -> str | None:
-    """The folder every executor can reach, as named by the cluster."""
-    return spark.conf.get("spark.checkpoint.dir", None)
+    """The folder every executor can reach, as named by the cluster.
+
+    Only a single-machine session without that setting gets a folder of its own; on a cluster
+    an unset folder means plans stay lazy.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and spark.sparkContext.master.startswith("local"):
+        return os.path.join(tempfile.gettempdir(), f"foliograph-{spark.sparkContext.applicationId}")
+    return named
 
 
 def persist_durably(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage by writing to the shared folder and reading the table back.
 
-    Used where a result is both expensive (a model call) and read more than once. Lost
-    executors never lose it. Without a shared folder the plan stays lazy.
+    Used for results that are read several times and are either small (ranked hits) or
+    expensive (model calls). Lost executors never lose it, and its file size lets Spark
+    decide on broadcasting from a measured number.
     """
     base = shared_dir(df.sparkSession)
     if base is None:
         return df
-    path = os.path.join(base, f"{label}-{uuid.uuid4().hex}")
+    path = f"{base}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input with fewer splits than cores (a small input by definition)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foliograph.session import spread
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -230,6 +232,10 @@ _SOURCES_OF = {
 }
 
 
+# Tables whose rows grow into long texts: worth spreading when they come in few splits.
+_TEXT_HEAVY = ("orders", "customer", "part", "documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -238,6 +244,8 @@ def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived relation as a Spark plan over the tables it needs."""
     text = _SOURCES_OF[name]
     used = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in text}
+    if name == "wiki":
+        used = {t: spread(df) if t in _TEXT_HEAVY else df for t, df in used.items()}
     return spark.sql(text.replace("{hash}", "sha2('order ' || o_orderkey, 256)"), **used)
 
 
