@@ -11,6 +11,7 @@ from foliograph.functions import rewrite as R
 from foliograph.functions.text import alias_key, blank, dedup_key, safe_name, trim_ws
 from foliograph.operators import registry
 from foliograph.operators.graph import subdir_rank
+from foliograph.session import persist_durably
 
 LIST_FIELDS = ("sources", "source_dates", "tags")
 
@@ -150,6 +151,7 @@ def merged_survivors(pages: DataFrame, planned: DataFrame) -> DataFrame:
 
 def apply(pages: DataFrame, planned: DataFrame) -> DataFrame:
     """The wiki after the plan: merged survivors, losers gone, links following the renames."""
+    planned = persist_durably(planned, "merge-plan")
     touched = planned.select("subdir", "name")
     untouched = pages.select("subdir", "name", "content").join(touched, ["subdir", "name"], "left_anti")
     remaining = untouched.unionByName(merged_survivors(pages, planned))
