@@ -68,6 +68,25 @@ def _finding(df: DataFrame, level: str, code: str, page: Column, target: Column,
     )
 
 
+def page_findings(unique: DataFrame, isolated: bool = True, bodyless: bool = True) -> DataFrame:
+    """Findings that one page alone decides, all from a single pass over the page texts."""
+    c = F.col("content")
+    problems = P.frontmatter_problems(c)
+    checks = [
+        ("warning", "frontmatter", F.when(F.size(problems) > 0, F.array_join(problems, ", "))),
+        ("info", "thin", F.when(is_thin_page(c), "")),
+    ]
+    if isolated:
+        checks.append(("info", "isolated", F.when(F.size(P.link_occurrences(c)) == 0, "")))
+    if bodyless:
+        checks.append(("warning", "bodyless", F.when(P.is_bodyless(F.col("subdir"), c), "")))
+    tested = F.array(
+        *[F.struct(F.lit(lv).alias("level"), F.lit(code).alias("code"), detail.alias("detail")) for lv, code, detail in checks]
+    )
+    rows = unique.select(F.col("name").alias("page"), F.inline(tested)).filter(F.col("detail").isNotNull())
+    return rows.select("level", "code", "page", F.lit("").alias("target"), "detail")
+
+
 def report(pages: DataFrame, catalog: DataFrame | None = None, isolated: bool = True, bodyless: bool = True) -> DataFrame:
     """(level, code, page, target, detail): every finding as one row.
 
@@ -79,16 +98,11 @@ def report(pages: DataFrame, catalog: DataFrame | None = None, isolated: bool =
     parts = [
         _finding(graph.broken_links(unique), "error", "broken_link", F.col("page"), F.col("target"), none),
         _finding(graph.orphans(unique), "warning", "orphan", F.col("name"), none, none),
-        _finding(frontmatter_issues(pages), "warning", "frontmatter", F.col("name"), none, F.col("problems")),
-        _finding(thin_pages(pages), "info", "thin", F.col("name"), none, none),
+        page_findings(unique, isolated, bodyless),
     ]
     if catalog is not None:
         parts.append(_finding(stale_catalog_links(pages, catalog), "error", "stale_index", F.lit("index"), F.col("target"), none))
         parts.append(_finding(missing_from_catalog(pages, catalog), "warning", "not_in_index", F.col("name"), none, none))
-    if isolated:
-        parts.append(_finding(graph.isolated(unique), "info", "isolated", F.col("name"), none, none))
-    if bodyless:
-        parts.append(_finding(bodyless_pages(pages), "warning", "bodyless", F.col("name"), none, none))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
