@@ -9,6 +9,7 @@ from foliograph.catalog import sql as S
 from foliograph.catalog.registry import query
 from foliograph.operators import graph, index
 from foliograph.operators import retrieval as R
+from foliograph.session import persist_durably
 
 
 def _scores(t):
@@ -74,7 +75,8 @@ def _(t):
 
 @query("R3_expansion_hits", "SELECT query_id, name, CAST(hits AS BIGINT) AS hits FROM near", SEARCH_NEAR := S.BM25 + " hits uniq uocc ulinks keys edges nbrs seeds near")
 def _(t):
-    seeds = _hits(t).filter(F.col("rank") <= K.SEED_COUNT).select("query_id", "name")
+    hits = persist_durably(_hits(t), "hits")
+    seeds = hits.filter(F.col("rank") <= K.SEED_COUNT).select("query_id", "name")
     return R.expansion_hits(seeds, graph.unique_pages(t.wiki))
 
 
@@ -85,9 +87,9 @@ def _(t):
     S.BM25 + " hits uniq uocc ulinks keys edges nbrs seeds near near_ranked",
 )
 def _(t):
-    hits = _hits(t)
+    hits = persist_durably(_hits(t), "hits")
     seeds = hits.filter(F.col("rank") <= K.SEED_COUNT).select("query_id", "name")
-    near = R.expansion_hits(seeds, graph.unique_pages(t.wiki))
+    near = persist_durably(R.expansion_hits(seeds, graph.unique_pages(t.wiki)), "expansion")
     return R.expansion_ranks(near, hits, K.TOP_K)
 
 

@@ -9,6 +9,7 @@ the engine's spelling of a SHA-256 digest.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from foliograph.session import spread
 
@@ -236,8 +237,15 @@ _SOURCES_OF = {
 _TEXT_HEAVY = ("orders", "customer", "part", "documents", "pages", "conversations")
 
 
+_KNOWN_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One input table; its schema is read from the files once per process."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _KNOWN_SCHEMAS:
+        _KNOWN_SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_KNOWN_SCHEMAS[path]).parquet(path)
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
