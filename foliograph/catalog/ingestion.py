@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from foliograph.catalog import sql as S
@@ -9,6 +11,7 @@ from foliograph.catalog.registry import query
 from foliograph.functions.text import content_hash
 from foliograph.plans import ingest as plan
 from foliograph.plans import question
+from foliograph.session import shared_dir
 from foliograph.sources.raw import parsed
 from foliograph.sources.store import empty_wiki
 
@@ -68,3 +71,82 @@ def _(t):
 def _(t):
     """Every question answered over the derived wiki with the offline model."""
     return question.answer(t.questions, t.wiki).select("query_id", "route", "label", "answer", F.array_join("sources", "|").alias("sources"))
+
+
+_IMAGE = "CASE page_id % 3 WHEN 0 THEN 'my_pic-' || page_id || '.PNG' WHEN 1 THEN '2021-04_shot ' || page_id || '.jpeg' ELSE '_-.svg' END"
+
+
+@query(
+    "S10_image_pages",
+    f"""SELECT page_id, title AS name, array_to_string(list_filter(['---', 'type: source', 'tags: [image]', 'sources: [raw/' || f || ']', 'source_date: ' || d, 'source_hash: ' || h,
+      'created: 2024-01-01', 'updated: 2024-01-01', '---', '', '# ' || title, '', '**Source:** `raw/' || f || '`', '**Date ingested:** 2024-01-01', '**Type:** image', '**Source date:** ' || d, '',
+      '## Preview', '', '![[' || f || ']]', '', '## Notes', '', '_Image registered as a source without automatic extraction._',
+      '_Add observations here, or embed this image elsewhere with_ `![[' || f || ']]`.', ''], lambda l: l IS NOT NULL), chr(10)) AS content
+    FROM (SELECT *, {S.safe_name("array_to_string(list_transform(string_split(CASE WHEN st = '' THEN 'Image' ELSE st END, ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ')")} AS title,
+        CASE WHEN starts_with(f, '2021') THEN '2021-04' ELSE '2024-01-01' END AS d FROM (
+      SELECT page_id, f, sha256(html) AS h, {S.trim("translate(regexp_replace(f, '[.][^.]*$', ''), '_-', '  ')")} AS st FROM (SELECT page_id, html, {_IMAGE} AS f FROM pages)))""",
+)
+def _(t):
+    p = F.col("page_id")
+    name = (
+        F.when(p % 3 == 0, F.concat(F.lit("my_pic-"), p.cast("string"), F.lit(".PNG")))
+        .when(p % 3 == 1, F.concat(F.lit("2021-04_shot "), p.cast("string"), F.lit(".jpeg"))).otherwise("_-.svg")
+    )
+    images = t.web_pages.select(
+        "page_id", name.alias("filename"), content_hash(F.encode("html", "UTF-8")).alias("sha256"),
+        F.lit("2024-01-01").cast("timestamp").alias("mtime"),
+    )
+    pages = plan.image_pages(images, "2024-01-01", "page_id")
+    return pages.select("page_id", "name", "content")
+
+
+_FIRST = rf"CASE WHEN regexp_matches(description, '^[\s\S]*?[.!?](?:{S.K.WS}|\z)') THEN regexp_extract(description, '^([\s\S]*?[.!?])(?:{S.K.WS}|\z)', 1) ELSE description END"
+
+
+@query(
+    "K10_source_pages",
+    f"""WITH it AS (SELECT source, bucket, pos, '- [[' || name || ']] — ' || {_FIRST} AS line FROM items),
+    ag AS (SELECT source, string_agg(line, chr(10) ORDER BY pos) FILTER (bucket = 'entities') AS ents, string_agg(line, chr(10) ORDER BY pos) FILTER (bucket = 'concepts') AS cons FROM it GROUP BY 1)
+    SELECT 'Page ' || source AS name, '---' || chr(10) || 'type: source' || chr(10) || 'tags: [article]' || chr(10) || 'sources: [raw/' || source || ']' || chr(10) || 'source_date: 2001' || chr(10) ||
+      'created: 2024-01-01' || chr(10) || 'updated: 2024-01-01' || chr(10) || '---' || chr(10) || chr(10) || '# Page ' || source || chr(10) || chr(10) || '**Source:** `raw/' || source || '`' || chr(10) ||
+      '**Date ingested:** 2024-01-01' || chr(10) || '**Type:** article' || chr(10) || '**Source date:** 2001' || chr(10) || chr(10) || '## Summary' || chr(10) || chr(10) || 'About ' || source || chr(10) || chr(10) ||
+      '## Entities Mentioned' || chr(10) || chr(10) || ents || chr(10) || chr(10) || '## Concepts Covered' || chr(10) || chr(10) || cons || chr(10) AS content FROM ag""",
+    "items",
+)
+def _(t):
+    items = t.items.select("source", F.col("bucket").alias("subdir"), "pos", "name", "description")
+    facts = items.select(F.col("source").alias("filename")).distinct().select(
+        "filename", F.concat(F.lit("Page "), F.col("filename")).alias("title"), F.lit("text").alias("file_type"),
+        F.lit("2001").alias("source_date"), F.lit("").alias("sha256"),
+    )
+    overview = facts.select("filename", F.concat(F.lit("About "), F.col("filename")).alias("overview"))
+    none = t.spark.createDataFrame([], "source string, claim string, chunk int, pos int")
+    return plan.source_pages(facts, overview, items, none, "2024-01-01").select("name", "content")
+
+
+@query(
+    "S12_arrival_stream",
+    "SELECT 'doc-' || doc_id || '.txt' AS filename, strlen(text) AS size_bytes, sha256(text) AS sha256 FROM documents",
+)
+def _(t):
+    """The raw-file listing kept up to date by an arrival stream over the documents table."""
+    spark = t.spark
+    base = f"{shared_dir(spark)}/arrivals-{uuid.uuid4().hex}"
+    schema = t.documents.schema
+    arrivals = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(t.sf_dir)
+    text = F.encode("text", "UTF-8")
+    listing = arrivals.select(
+        F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"),
+        F.octet_length("text").cast("long").alias("size_bytes"), content_hash(text).alias("sha256"),
+    )
+    sink = listing.writeStream.format("parquet").option("path", f"{base}/listing").option("checkpointLocation", f"{base}/progress")
+    sink.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(listing.schema).parquet(f"{base}/listing")
+
+
+@query(
+    "A18_context_sizes",
+    "SELECT source, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) AS n FROM documents GROUP BY 1",
+)
+def _(t):
+    return t.documents.groupBy("source").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("n"))

@@ -49,7 +49,7 @@ def shared_dir(spark: SparkSession) -> str | None:
     """The folder every executor can reach, as named by the cluster.
 
     Only a single-machine session without that setting gets a folder of its own; on a cluster
-    an unset folder means plans stay lazy.
+    an unset folder means plans stay lazy (and stream sinks must be given one).
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None and spark.sparkContext.master.startswith("local"):
