@@ -42,7 +42,7 @@ def stored_index(spark, sf_dir: str) -> dict[str, float]:
         where = index.build_index(tables.wiki, path, stemmed=False, phrase_lengths=(1, 2))
         built = time.perf_counter()
         found = retrieval.search_index(
-            tables.questions, spark.read.parquet(where["docs"]), spark.read.parquet(where["pages"]), stemmed=False
+            tables.questions, spark.read.parquet(where["docs"]), spark.read.parquet(where["neighbours"]), stemmed=False
         )
         found.write.format("noop").mode("overwrite").save()
         done = time.perf_counter()

@@ -256,9 +256,6 @@ def _(t):
     return lint.thin_pages(t.wiki)
 
 
-_SUBSTANCE_CTES = S.with_ctes(["wiki", "uniq"], "SELECT 1")
-
-
 @query(
     "F12_bodyless",
     rf"""WITH RECURSIVE cut AS (SELECT subdir, name, {_AFTER} AS t FROM uniq),

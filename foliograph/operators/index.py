@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from foliograph import constants as K
 from foliograph.functions import pages as P
 from foliograph.functions.porter import analyze
-from foliograph.operators.graph import unique_pages
+from foliograph.operators.graph import neighbours, unique_pages
 from foliograph.operators.grouping import last_row
 
 FIELDS = ("name", "type", "tags", "content")
@@ -97,10 +97,9 @@ def build_index(pages: DataFrame, path: str, stemmed: bool = True, phrase_length
     """Drop and rebuild the index tables under ``path``; returns table name → location.
 
     ``pages`` keeps one row per name, ``docs`` one row per page file with its length and its
-    weighted terms nested (document-major: scoring a document never moves its terms), and
-    ``source_files`` maps raw files to source pages.
+    weighted terms nested (document-major: scoring a document never moves its terms),
+    ``neighbours`` the symmetric link graph, and ``source_files`` raw files and source pages.
     """
-    spark = pages.sparkSession
     docs = analysed(searchable(pages), ["subdir", "name"], stemmed)
     nested = (
         postings(docs, ["subdir", "name"], phrase_lengths)
@@ -110,18 +109,18 @@ def build_index(pages: DataFrame, path: str, stemmed: bool = True, phrase_length
     empty = docs.filter(F.col("dl") == 0).select(
         "subdir", "name", "dl", F.array().cast("array<struct<term:string,f:double>>").alias("terms")
     )
+    unique = unique_pages(pages.select("subdir", "name", "content"))
     tables = {
-        "pages": unique_pages(pages.select("subdir", "name", "content")),
+        "pages": unique,
         "docs": nested.unionByName(empty),
+        "neighbours": neighbours(unique),
         "source_files": raw_file_index(pages),
-        "page_files": pages.select("subdir", "name", "content"),
     }
     locations = {}
     for table, df in tables.items():
         out = df if buckets is None else df.repartition(buckets)
         out.write.mode("overwrite").parquet(f"{path}/{table}")
         locations[table] = f"{path}/{table}"
-    del spark
     return locations
 
 

@@ -108,7 +108,7 @@ def expansion_hits(seeds: DataFrame, pages: DataFrame) -> DataFrame:
     """(query_id, name, hits): pages one link away from a query's seeds, seeds excluded.
 
     ``hits`` counts seeds, a seed listed twice counting twice. Only edges that touch a seed are
-    made symmetric, never the whole graph.
+    made symmetric and distinct, never the whole graph.
     """
     links = graph.edges(pages).select(
         F.inline(
@@ -118,8 +118,14 @@ def expansion_hits(seeds: DataFrame, pages: DataFrame) -> DataFrame:
             )
         )
     )
+    return hits_over(seeds, links, distinct=False)
+
+
+def hits_over(seeds: DataFrame, links: DataFrame, distinct: bool = True) -> DataFrame:
+    """The same over a symmetric (name, neighbour) relation, ``distinct`` if it is so already."""
     counted = seeds.groupBy("query_id", "name").agg(F.count("*").alias("times"))
-    touched = counted.join(links, "name").distinct()
+    touched = counted.join(links, "name")
+    touched = touched if distinct else touched.distinct()
     hits = touched.groupBy("query_id", F.col("neighbour").alias("name")).agg(F.sum("times").alias("hits"))
     return hits.join(counted, ["query_id", "name"], "left_anti")
 
@@ -167,28 +173,33 @@ def search_docs(queries: DataFrame, docs: DataFrame, pages: DataFrame | None, k:
     return finish(hits, pages, k, expand)
 
 
-def finish(hits: DataFrame, pages: DataFrame | None, k: int, expand: bool) -> DataFrame:
-    """Expansion, fusion and final cut over ranked text hits."""
+def finish(hits: DataFrame, pages: DataFrame | None, k: int, expand: bool, links: DataFrame | None = None) -> DataFrame:
+    """Expansion (over stored ``links``, else over the links of ``pages``), fusion and final cut."""
     order = [F.round("score", 12).desc(), F.col("name")]
     if not expand:
         return hits.filter(F.col("rank") <= k).select("query_id", "name", "score", "rank")
     rankings = [hits]
-    if pages is not None:
+    if pages is not None or links is not None:
         seeds = hits.filter(F.col("rank") <= K.SEED_COUNT).select("query_id", "name")
-        unique = graph.unique_pages(pages.select("subdir", "name", "content"))
-        found = persist_durably(expansion_hits(seeds, unique), "expansion")
-        rankings.append(expansion_ranks(found, hits, k))
+        if links is not None:
+            near = hits_over(seeds, links)
+        else:
+            near = expansion_hits(seeds, graph.unique_pages(pages.select("subdir", "name", "content")))
+        rankings.append(expansion_ranks(persist_durably(near, "expansion"), hits, k))
     return top_k(fuse(*rankings), ["query_id"], order, k).select("query_id", "name", "score", "rank")
 
 
-def search_index(queries: DataFrame, docs: DataFrame, pages: DataFrame, k: int = K.TOP_K, expand: bool = True,
+def search_index(queries: DataFrame, docs: DataFrame, links: DataFrame, k: int = K.TOP_K, expand: bool = True,
                  stemmed: bool = True) -> DataFrame:
-    """Search over the stored index tables (``docs`` nested postings, ``pages`` unique pages)."""
+    """Search over the stored index tables (``docs`` nested postings, ``links`` neighbours).
+
+    No page text is read: terms, lengths and links were extracted when the index was built.
+    """
     terms = query_terms(queries, stemmed)
     vocabulary = terms.select("term").distinct()
     rows = docs.select("subdir", "name", "dl", F.inline("terms")).join(vocabulary, "term", "left_semi")
     hits = persist_durably(ranked(score(terms, rows, corpus_stats(docs), ["subdir", "name"]), 2 * k), "hits")
-    return finish(hits, pages, k, expand)
+    return finish(hits, None, k, expand, links)
 
 
 # --- context --------------------------------------------------------------------------------
