@@ -93,37 +93,35 @@ def raw_file_index(pages: DataFrame) -> DataFrame:
     return last_row(rows, ["filename"], F.struct("source_page", "source_hash"))
 
 
-def build_index(pages: DataFrame, path: str, stemmed: bool = True, phrase_lengths: Sequence[int] = (1,), buckets: int | None = None) -> dict[str, str]:
+POSTING_BUCKETS = 256
+
+
+def term_bucket(term: Column) -> Column:
+    """Storage bucket of a term."""
+    return F.pmod(F.xxhash64(term), F.lit(POSTING_BUCKETS)).cast("int")
+
+
+def build_index(pages: DataFrame, path: str, stemmed: bool = True, phrase_lengths: Sequence[int] = (1,)) -> dict[str, str]:
     """Drop and rebuild the index tables under ``path``; returns table name → location.
 
-    ``pages`` keeps one row per name, ``docs`` one row per page file with its length and its
-    weighted terms nested (document-major: scoring a document never moves its terms),
-    ``neighbours`` the symmetric link graph, and ``source_files`` raw files and source pages.
+    ``pages`` keeps one row per name, ``postings`` the weighted terms of every page file in
+    term buckets, ``stats`` the corpus statistics, ``neighbours`` the symmetric link graph and
+    ``source_files`` raw files and source pages. Postings are ranged by bucket, term and page, so
+    a search reads the buckets of its terms only and a very common term spreads over many tasks.
     """
     docs = analysed(searchable(pages), ["subdir", "name"], stemmed)
-    nested = (
-        postings(docs, ["subdir", "name"], phrase_lengths)
-        .groupBy("subdir", "name", "dl")
-        .agg(F.collect_list(F.struct("term", "f")).alias("terms"))
-    )
-    empty = docs.filter(F.col("dl") == 0).select(
-        "subdir", "name", "dl", F.array().cast("array<struct<term:string,f:double>>").alias("terms")
-    )
     unique = unique_pages(pages.select("subdir", "name", "content"))
-    tables = {
-        "pages": unique,
-        "docs": nested.unionByName(empty),
-        "neighbours": neighbours(unique),
-        "source_files": raw_file_index(pages),
-    }
     locations = {}
-    for table, df in tables.items():
-        out = df if buckets is None else df.repartition(buckets)
-        out.write.mode("overwrite").parquet(f"{path}/{table}")
+
+    def store(table: str, df: DataFrame, *partitions: str) -> None:
         locations[table] = f"{path}/{table}"
+        df.write.mode("overwrite").partitionBy(*partitions).parquet(locations[table])
+
+    store("pages", unique)
+    store("stats", corpus_stats(docs))
+    terms = postings(docs, ["subdir", "name"], phrase_lengths).withColumn("bucket", term_bucket(F.col("term")))
+    ranged = terms.repartitionByRange("bucket", "term", "name").sortWithinPartitions("bucket", "term", "name")
+    store("postings", ranged, "bucket")
+    store("neighbours", neighbours(unique))
+    store("source_files", raw_file_index(pages))
     return locations
-
-
-def indexed_terms(docs: DataFrame) -> DataFrame:
-    """The stored ``docs`` table back as postings."""
-    return docs.select("subdir", "name", "dl", F.inline("terms"))

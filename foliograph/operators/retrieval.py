@@ -17,7 +17,7 @@ from foliograph.functions.text import trim_ws
 from foliograph.operators import graph
 from foliograph.operators.grouping import top_k
 from foliograph.session import persist_durably
-from foliograph.operators.index import analysed, analyzer, corpus_stats, postings, searchable, stats_value, term_rows
+from foliograph.operators.index import analysed, analyzer, corpus_stats, postings, searchable, stats_value, term_bucket, term_rows
 
 
 def query_terms(queries: DataFrame, stemmed: bool = False) -> DataFrame:
@@ -189,17 +189,21 @@ def finish(hits: DataFrame, pages: DataFrame | None, k: int, expand: bool, links
     return top_k(fuse(*rankings), ["query_id"], order, k).select("query_id", "name", "score", "rank")
 
 
-def search_index(queries: DataFrame, docs: DataFrame, links: DataFrame, k: int = K.TOP_K, expand: bool = True,
-                 stemmed: bool = True) -> DataFrame:
-    """Search over the stored index tables (``docs`` nested postings, ``links`` neighbours).
+def search_index(queries: DataFrame, index: dict[str, str], k: int = K.TOP_K, expand: bool = True, stemmed: bool = True) -> DataFrame:
+    """Search over stored index tables (the locations ``build_index`` returned).
 
-    No page text is read: terms, lengths and links were extracted when the index was built.
+    No page text is read: terms, lengths and links were extracted when the index was built. The
+    posting buckets of the query terms (at most a few hundred numbers) prune the scan.
     """
+    spark = queries.sparkSession
     terms = query_terms(queries, stemmed)
-    vocabulary = terms.select("term").distinct()
-    rows = docs.select("subdir", "name", "dl", F.inline("terms")).join(vocabulary, "term", "left_semi")
-    hits = persist_durably(ranked(score(terms, rows, corpus_stats(docs), ["subdir", "name"]), 2 * k), "hits")
-    return finish(hits, None, k, expand, links)
+    vocabulary = terms.select("term").distinct().withColumn("bucket", term_bucket(F.col("term")))
+    buckets = [r["bucket"] for r in vocabulary.select("bucket").distinct().collect()]
+    stored = spark.read.parquet(index["postings"]).filter(F.col("bucket").isin(buckets))
+    rows = stored.join(vocabulary.select("term"), "term", "left_semi").select("subdir", "name", "dl", "term", "f")
+    scores = score(terms, rows, spark.read.parquet(index["stats"]), ["subdir", "name"])
+    hits = persist_durably(ranked(scores, 2 * k), "hits")
+    return finish(hits, None, k, expand, spark.read.parquet(index["neighbours"]) if expand else None)
 
 
 # --- context --------------------------------------------------------------------------------

@@ -50,7 +50,7 @@ def test_stored_index_answers_like_the_direct_plan(spark, tmp_path):
     df = spark.createDataFrame(pages, "subdir string, name string, content string")
     qs = spark.createDataFrame([(1, "text 3"), (2, "hub")], "query_id int, text string")
     where = index.build_index(df, str(tmp_path))
-    stored = R.search_index(qs, spark.read.parquet(where["docs"]), spark.read.parquet(where["neighbours"]), k=15)
+    stored = R.search_index(qs, where, k=15)
     direct = R.search(qs, df, k=15)
     key = lambda d: sorted((r.query_id, r.name, r["rank"], round(r.score, 9)) for r in d.collect())
     assert key(stored) == key(direct)
