@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from foliograph.llm import line_dedup
+from foliograph.llm import bpe, line_dedup
 
 QUERIES = {
     "op3_line_dedup": line_dedup.query,
+    "op5_bpe": bpe.query,
 }
 ORACLES = {
     "op3_line_dedup": line_dedup.ORACLE,
