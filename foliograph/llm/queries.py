@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from foliograph.llm import bpe, line_dedup
+from foliograph.llm import bpe, line_dedup, token_counts, warc
 
 QUERIES = {
     "op3_line_dedup": line_dedup.query,
     "op5_bpe": bpe.query,
+    "op8_token_counts": token_counts.query,
+    "op9_warc": warc.query,
 }
 ORACLES = {
     "op3_line_dedup": line_dedup.ORACLE,
+    "op9_warc": warc.ORACLE,
 }
