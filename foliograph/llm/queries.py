@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from foliograph.llm import bpe, line_dedup, token_counts, warc
+from foliograph.llm import bpe, line_dedup, quality, token_counts, toxicity, warc
 
 QUERIES = {
+    "op2_toxicity": toxicity.query,
     "op3_line_dedup": line_dedup.query,
     "op5_bpe": bpe.query,
+    "op7_quality": quality.query,
     "op8_token_counts": token_counts.query,
     "op9_warc": warc.query,
 }
