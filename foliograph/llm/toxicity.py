@@ -3,9 +3,11 @@
 Learning (labelled rows only). Tokens count under their word and its beginnings (4 to 6 letters,
 which join inflected forms). Counts go to a sketch of DEPTH rows of WIDTH counters; of a feature's
 counters the smallest is taken, so what goes to the driver and to tasks has a fixed size while the
-counts cover all text. A feature's log-odds between toxic and clean text have a Dirichlet prior
-that follows its share in both; those within `z_least` deviations of none count as none. A token
-scores its strongest feature's log-odds; all others score the (negative) log-odds of such tokens.
+counts cover all text. A word counts once in each document. A feature's log-odds between toxic and
+clean text have a Dirichlet prior that follows its share in both. Features whose likelihood ratio
+could be chance among as many as there are, or whose log-odds are below `odds_least`, tell nothing.
+A token scores its strongest feature's log-odds; all others score the (negative) log-odds of such
+tokens.
 
 Scoring. The tokens of a text are scanned once; Ruzzo and Tompa's algorithm gives all maximal
 scoring passages in time linear in the tokens (stretches of equal negative scores are one step).
@@ -38,7 +40,7 @@ from foliograph.llm.common import table
 DEPTH, WIDTH = 2, 1 << 20
 PREFIXES = (4, 5, 6)
 SEED = 42  # of Spark's xxhash64
-WORD = re.compile(r"[^\W_]+")
+WORD = re.compile(r"[^\W_]+")  # runs of letters and digits
 PASSAGE = "array<struct<first:int,last:int,score:double,expected:double>>"
 
 
@@ -73,8 +75,9 @@ class Model:
     clean: float
     toxic: float
     prior: float
-    z_least: float
+    odds_least: float
     expected_most: float
+    ratio_least: float = 0.0
     base: float = -0.01
     lam: float = 1.0
     k: float = 0.1
@@ -96,7 +99,10 @@ class Model:
         share = (clean + toxic + 0.01) / (self.clean + self.toxic)
         a, b = toxic + self.prior * share, clean + self.prior * share
         odds = np.log(a / (self.toxic + self.prior - a)) - np.log(b / (self.clean + self.prior - b))
-        odds[(odds / np.sqrt(1 / a + 1 / b) < self.z_least) | (toxic < 2)] = -np.inf
+        both = (clean + toxic) / (self.clean + self.toxic)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = 2 * (np.nan_to_num(toxic * np.log(toxic / (both * self.toxic))) + np.nan_to_num(clean * np.log(clean / (both * self.clean))))
+        odds[(ratio < self.ratio_least) | (odds < self.odds_least)] = -np.inf
         best = np.full(len(words), -np.inf)
         np.maximum.at(best, np.array(owners, dtype=np.int64), odds)
         best[~np.isfinite(best)] = np.nan
@@ -160,21 +166,21 @@ class Scorer:
 
 
 def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", prior: float = 1000.0,
-          z_least: float = 3.0, expected_most: float = 0.05) -> Model:
+          odds_least: float = 2.0, expected_most: float = 0.05) -> Model:
     """The model of rows (text, label 0 or 1)."""
     rows = labelled.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("body"), F.col(f"`{label_col}`").cast("int").alias("label"))
-    # The words of Python's \w without the underscore.
-    parts = F.split(F.lower("body"), r"(?U)[^\p{L}\p{N}\p{M}]+")
-    words = rows.select(F.explode(parts).alias("word"), "label").filter("word <> ''").groupBy("word").agg(
+    parts = F.split(F.lower("body"), r"[^\p{L}\p{N}]+")
+    words = rows.select(F.explode(F.array_distinct(parts)).alias("word"), "label").filter("word <> ''").groupBy("word").agg(
         F.sum(1 - F.col("label")).alias("clean"), F.sum("label").alias("toxic")
     )
     counts = sketch(words)
-    # Each word is counted once in each row under itself and its beginnings; their shares refer to words.
+    distinct = F.size(F.array_distinct(parts))
     sums = rows.agg(
-        F.sum(F.when(F.col("label") == 0, F.size(parts))).alias("clean"), F.sum(F.when(F.col("label") == 1, F.size(parts))).alias("toxic"),
+        F.sum(F.when(F.col("label") == 0, distinct)).alias("clean"), F.sum(F.when(F.col("label") == 1, distinct)).alias("toxic"),
         F.count(F.when(F.col("label") == 0, 1)).alias("clean_rows"), F.count(F.when(F.col("label") == 1, 1)).alias("toxic_rows"),
     ).first()
-    model = Model(counts, float(sums.clean or 0) + 1, float(sums.toxic or 0) + 1, prior, z_least, expected_most)
+    model = Model(counts, float(sums.clean or 0) + 1, float(sums.toxic or 0) + 1, prior, odds_least, expected_most)
+    model.ratio_least = 2 * math.log(max(int(np.count_nonzero(counts[0].sum(axis=1))), 2))
     rate = (sums.toxic_rows + 0.5) / (sums.clean_rows + sums.toxic_rows + 1)
     model.curve = (math.log(rate / (1 - rate)), 0.0)
     if not sums.clean_rows or not sums.toxic_rows:
