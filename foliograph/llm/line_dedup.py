@@ -15,11 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import SPACES, ascii_lower
+from foliograph.llm.common import SPACES, ascii_lower, stored, table
 
 
 def _keys(text: Column) -> Column:
-    """Key of each line, null where a line is too short to count is decided by the caller."""
+    """Key of each line: stripped and lower-cased."""
     return F.transform(F.split(ascii_lower(text), "\n"), lambda line: F.btrim(line, F.lit(SPACES)))
 
 
@@ -45,7 +45,8 @@ def dedup_lines(
 ) -> DataFrame:
     """docs as {doc: all columns, n_lines, n_dropped, kept}; kept is the text without the dropped lines."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    frequent = shared_lines(docs, id_col, text_col, min_chars, min_docs)
+    # A table of its own: the join then shuffles both sides anew, so Spark can split a hot line's rows.
+    frequent = stored(shared_lines(docs, id_col, text_col, min_chars, min_docs), "shared-lines")
     marked = F.transform(_keys(text), lambda key: F.when(F.char_length(key) >= min_chars, _hashed(key)))
     lines = docs.select(
         F.col(f"`{id_col}`").alias("doc"), F.xxhash64(text).alias("content"), F.posexplode(marked).alias("pos", "h")
@@ -79,8 +80,6 @@ def dedup_lines(
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    from foliograph.llm.common import table
-
     result = dedup_lines(table(spark, sf_dir, "documents"))
     return result.select(
         "doc.doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256")
