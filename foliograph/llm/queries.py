@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from foliograph.llm import bpe, line_dedup, quality, token_counts, toxicity, warc
+from foliograph.llm import bpe, fingerprints, line_dedup, quality, token_counts, toxicity, warc
 
 QUERIES = {
+    "op1_fingerprints": fingerprints.query,
     "op2_toxicity": toxicity.query,
     "op3_line_dedup": line_dedup.query,
     "op5_bpe": bpe.query,
