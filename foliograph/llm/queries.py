@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliograph.llm import bpe, fingerprints, line_dedup, quality, token_counts, toxicity, warc
+from foliograph.llm import bpe, decontaminate, fingerprints, line_dedup, quality, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprints.query,
@@ -12,8 +12,10 @@ QUERIES = {
     "op7_quality": quality.query,
     "op8_token_counts": token_counts.query,
     "op9_warc": warc.query,
+    "op10_decontaminate": decontaminate.query,
 }
 ORACLES = {
     "op3_line_dedup": line_dedup.ORACLE,
     "op9_warc": warc.ORACLE,
+    "op10_decontaminate": decontaminate.ORACLE,
 }
