@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import space_words, stored, table
+from foliograph.llm.common import bounded_labels, space_words, stored, table
 
 BINS = 24
 FEATURES = ("capitals", "symbols", "wordless", "distinct", "word_length", "line_length")
@@ -117,14 +117,13 @@ def _strength(groups: DataFrame, good: str, n: str, rate: Column | float) -> flo
 def classify(
     docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
     host_col: str = "source", path_col: str = "lang", label_col: str = "quality", prior_rows: float = 5.0,
-    threshold: float = 0.5,
+    threshold: float = 0.5, most_labels: int = 200_000,
 ) -> DataFrame:
     """{doc: all columns, evidence, host_rate, path_rate, score, keep}. learn: which rows of labels are learnt
-    from (a condition on them); score is the probability of label 1, and keep is score >= threshold."""
+    from (a condition on them), of which about `most_labels` are used if there are more; score is the
+    probability of label 1, and keep is score >= threshold."""
     used = labels.filter(learn) if learn is not None else labels
-    used = used.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(
-        F.avg(F.col(label_col).cast("double")).alias("_good")
-    )
+    used = bounded_labels(used, id_col, label_col, most_labels, lambda c: F.avg(c.cast("double"))).withColumnRenamed("_label", "_good")
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
         F.col(f"`{id_col}`").alias("_id"), F.col(f"`{host_col}`").cast("string").alias("host"),

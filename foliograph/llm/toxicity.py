@@ -35,10 +35,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliograph.llm.common import table
+from foliograph.llm.common import bounded_labels, table
 
 DEPTH, WIDTH = 2, 1 << 20
 PREFIXES = (4, 5, 6)
+MOST_LABELS = 200_000  # labelled rows that are learnt from, at most
 SEED = 42  # of Spark's xxhash64
 WORD = re.compile(r"[^\W_]+")  # runs of letters and digits
 PASSAGE = "array<struct<first:int,last:int,score:double,expected:double>>"
@@ -308,8 +309,8 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    used = labels.filter(~held_out() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    model = learn(docs.select("doc_id", "text").join(used, "doc_id").select("text", "toxic"))
+    used = bounded_labels(labels.filter(~held_out()), "doc_id", "toxic", MOST_LABELS, F.max)
+    model = learn(docs.join(used, docs["doc_id"] == used["_id"]).select("text", F.col("_label").alias("toxic")))
     result = score(docs.select("doc_id", "text"), model).withColumn("doc_id", F.col("doc.doc_id"))
     return result.select(
         "doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted", "evidence", F.size("passages").alias("n_passages")
