@@ -1,27 +1,68 @@
-"""Corpus pipeline: quality, line dedup, near-duplicates, decontamination, tokens."""
+"""Corpus pipeline: quality, line dedup, near-duplicates, decontamination, tokens.
+
+Every stage takes (spark, docs, sf_dir), works on all of docs and returns a DataFrame; all but the
+last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliograph.llm import bpe
 from foliograph.llm.common import stored, table
+from foliograph.llm.decontaminate import decontaminate
+from foliograph.llm.jaccard import join_components
 from foliograph.llm.line_dedup import dedup_lines
+from foliograph.llm.quality import classify
+
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it learns from all labels."""
+    judged = classify(docs, table(spark, sf_dir, "labels"))
+    return judged.filter("keep").select("doc.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shared lines go; n_chars is counted anew."""
     kept = dedup_lines(docs)
-    return kept.select(*[
-        F.col("kept").alias("text") if c == "text"
-        else F.char_length("kept").cast("long").alias("n_chars") if c == "n_chars"
-        else F.col(f"doc.{c}").alias(c)
-        for c in docs.columns
-    ])
+    changed = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")}
+    return kept.select(*[changed.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, that with the smallest id. Documents without an id, or without
+    words, are in no group; rows that repeat an id are one document, of which the least row stays."""
+    rows, _ = join_components(docs.select("doc_id", "text"))
+    gone = stored(rows.filter("doc <> component").select(F.col("doc").alias("doc_id")).distinct(), "near-duplicates")
+    kept = docs.join(gone, "doc_id", "left_anti")
+    if not _repeats(kept):
+        return kept
+    # The least row of an id, by the order of its columns.
+    once = kept.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct(*kept.columns)).alias("row")).select("row.*")
+    return kept.filter("doc_id IS NULL").union(once)
+
+
+def _repeats(docs: DataFrame) -> bool:
+    counts = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return not counts.filter("n > 1").isEmpty()
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents go."""
+    judged = decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return judged.filter(~F.col("contaminated")).select("doc.*")
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Number of tokens and digests of ids and decoded text."""
+    return bpe.digests(docs)
 
 
-STAGES = [("line dedup", line_dedup)]
+STAGES = [
+    ("quality", quality), ("line dedup", line_dedup), ("near duplicates", near_duplicates),
+    ("decontamination", decontamination), ("tokens", tokens),
+]
 ORACLE_SQL = None
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from foliograph.llm import bpe, decontaminate, fingerprints, line_dedup, quality, substrings, token_counts, toxicity, warc
+from foliograph.llm import bpe, decontaminate, fingerprints, jaccard, line_dedup, quality, substrings, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprints.query,
     "op2_toxicity": toxicity.query,
     "op3_line_dedup": line_dedup.query,
+    "op4_jaccard": jaccard.query,
     "op5_bpe": bpe.query,
     "op6_substrings": substrings.query,
     "op7_quality": quality.query,
