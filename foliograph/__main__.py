@@ -49,6 +49,13 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def print_rows(df) -> None:
+    """All rows as tab-separated text, fetched partition by partition."""
+    print("\t".join(df.columns))
+    for row in df.toLocalIterator():
+        print("\t".join("" if v is None else str(v) for v in row))
+
+
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
     configure(spark)
     store = WikiStore(spark, args.store)
@@ -58,9 +65,9 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         files = raw.read_raw(spark, args.raw)
         if args.list:
             status = file_status(files.drop("content"), raw_file_index(wiki.pages))
-            status.select("filename", human_size(F.col("size_bytes")).alias("size"), "status").orderBy("filename").show(1000, False)
+            print_rows(status.select("filename", human_size(F.col("size_bytes")).alias("size"), "status").orderBy("filename"))
             return
-        store.write(ingest.ingest(wiki, files, day, overwrite=args.reprocess, names=args.files or None, use_embeddings=args.use_embeddings))
+        store.write(ingest.ingest(wiki, files, day, overwrite=args.reprocess, names=args.files or None, use_embeddings=args.use_embeddings, on_failed=print_rows))
         store.read().log.groupBy("day").agg(F.count("*").alias("files")).orderBy("day").show()
     elif args.command == "watch":
         def report(findings):
@@ -70,7 +77,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
     elif args.command == "search":
         asked = spark.createDataFrame([(1, args.text)], "query_id int, text string")
         found = retrieval.search(asked, wiki.pages, args.top, lengths=retrieval.phrase_lengths(asked))
-        retrieval.results(found, wiki.pages).orderBy("rank").select("rank", "name", "subdir", "score", "snippet").show(args.top, 80)
+        print_rows(retrieval.results(found, wiki.pages).orderBy("rank").select("rank", "name", "subdir", "score", "snippet"))
     elif args.command == "ask":
         asked = spark.createDataFrame([(1, args.text)], "query_id int, text string")
         answers = question.answer(asked, wiki.pages)
@@ -81,13 +88,13 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
     elif args.command == "lint":
         findings = lint.report(wiki.pages, wiki.catalog)
         lint.summary(findings).orderBy("level", "code").show()
-        findings.orderBy("level", "code", "page", "target").show(100, False)
+        print_rows(findings.orderBy("level", "code", "page", "target"))
     elif args.command == "stats":
         lint.page_counts(wiki.pages).show()
         browse.wiki_stats(wiki.pages).show()
     elif args.command == "dedup":
         planned = dedup.plan(wiki.pages, None if args.no_registry else wiki.entries)
-        planned.orderBy("group_key", "role", "subdir", "name").show(100, False)
+        print_rows(planned.orderBy("group_key", "role", "subdir", "name"))
         dedup.plan_totals(planned).show()
         if args.apply:
             store.write(wiki.with_tables(pages=dedup.apply(wiki.pages, planned)))

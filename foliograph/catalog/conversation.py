@@ -118,7 +118,7 @@ def _(t):
 
 @query(
     "W4_history_block",
-    f"WITH {_ENTRY} SELECT conv_id, 'Previous conversation:' || chr(10) || string_agg(left(entry, 24000), chr(10) || chr(10) ORDER BY turn) || chr(10) || chr(10) || '---' || chr(10) || chr(10) AS block FROM run WHERE spent <= 24000 OR rank = 1 GROUP BY 1",
+    f"WITH {_ENTRY} SELECT conv_id, 'Messages so far:' || chr(10) || string_agg(left(entry, 24000), chr(10) || chr(10) ORDER BY turn) || chr(10) || chr(10) || '---' || chr(10) || chr(10) AS block FROM run WHERE spent <= 24000 OR rank = 1 GROUP BY 1",
 )
 def _(t):
     return chat.history_block(t.conversations)
@@ -126,7 +126,7 @@ def _(t):
 
 @query(
     "W6_route_context",
-    f"""SELECT conv_id, 'Recent conversation (for context only):' || chr(10) || string_agg(CASE role WHEN 'user' THEN 'User: ' ELSE 'Assistant: ' END ||
+    f"""SELECT conv_id, 'Latest messages, as background:' || chr(10) || string_agg(CASE role WHEN 'user' THEN 'User: ' ELSE 'Assistant: ' END ||
       CASE WHEN length(x) > CASE role WHEN 'user' THEN 400 ELSE 600 END THEN {S.rtrim("left(x, CASE role WHEN 'user' THEN 400 ELSE 600 END)")} || '…' ELSE x END, chr(10) ORDER BY turn) || chr(10) || chr(10) AS block
     FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rank FROM (SELECT *, {S.trim('text')} AS x FROM conversations) WHERE role IN ('user', 'assistant') AND x <> '') WHERE rank <= 4 GROUP BY 1""",
 )

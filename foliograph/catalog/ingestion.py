@@ -80,8 +80,8 @@ _IMAGE = "CASE page_id % 3 WHEN 0 THEN 'my_pic-' || page_id || '.PNG' WHEN 1 THE
     "S10_image_pages",
     f"""SELECT page_id, title AS name, array_to_string(list_filter(['---', 'type: source', 'tags: [image]', 'sources: [raw/' || f || ']', 'source_date: ' || d, 'source_hash: ' || h,
       'created: 2024-01-01', 'updated: 2024-01-01', '---', '', '# ' || title, '', '**Source:** `raw/' || f || '`', '**Date ingested:** 2024-01-01', '**Type:** image', '**Source date:** ' || d, '',
-      '## Preview', '', '![[' || f || ']]', '', '## Notes', '', '_Image registered as a source without automatic extraction._',
-      '_Add observations here, or embed this image elsewhere with_ `![[' || f || ']]`.', ''], lambda l: l IS NOT NULL), chr(10)) AS content
+      '## Preview', '', '![[' || f || ']]', '', '## Notes', '', '_No text was read from this image._',
+      '_To show it on other pages, write_ `![[' || f || ']]`.', ''], lambda l: l IS NOT NULL), chr(10)) AS content
     FROM (SELECT *, {S.safe_name("array_to_string(list_transform(string_split(CASE WHEN st = '' THEN 'Image' ELSE st END, ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ')")} AS title,
         CASE WHEN starts_with(f, '2021') THEN '2021-04' ELSE '2024-01-01' END AS d FROM (
       SELECT page_id, f, sha256(html) AS h, {S.trim("translate(regexp_replace(f, '[.][^.]*$', ''), '_-', '  ')")} AS st FROM (SELECT page_id, html, {_IMAGE} AS f FROM pages)))""",

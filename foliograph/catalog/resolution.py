@@ -45,7 +45,7 @@ S.CTES.update({
       WHEN {S.trim('description')} = '' OR {S.trim('p_description')} = '' THEN 'merge|4|' || p_name || '|' || sim END AS out FROM simmed""",
     "keyed": "SELECT *, CASE WHEN out IS NULL THEN sha1(array_to_string(list_sort(["
     + ", ".join(
-        f"lower({S.trim(n)}) || chr(2) || lower({S.trim(ty)}) || chr(2) || left(lower({S.trim(d)}), 200)"
+        f"lower({S.trim(n)}) || chr(2) || lower({S.trim(ty)}) || chr(2) || lower({S.trim(d)})"
         for n, ty, d in (("name", "type", "description"), ("p_name", "p_type", "p_description"))
     )
     + "]), chr(1))) END AS key FROM early",

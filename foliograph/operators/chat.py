@@ -48,7 +48,7 @@ def _ordered_text(entries: DataFrame, separator: str) -> Column:
 def history_block(messages: DataFrame, budget: int = K.HISTORY_BUDGET) -> DataFrame:
     """(conv_id, block): the history as prompt text, oldest first, within the budget."""
     entries = history_entries(messages, budget)
-    text = F.concat(F.lit("Previous conversation:\n"), _ordered_text(entries, "\n\n"), F.lit("\n\n---\n\n"))
+    text = F.concat(F.lit("Messages so far:\n"), _ordered_text(entries, "\n\n"), F.lit("\n\n---\n\n"))
     return entries.groupBy("conv_id").agg(text.alias("block"))
 
 
@@ -64,7 +64,7 @@ def route_context(messages: DataFrame) -> DataFrame:
     )
     newest = top_k(entries, ["conv_id"], [F.col("turn").desc()], K.ROUTE_TURNS)
     block = F.concat(
-        F.lit("Recent conversation (for context only):\n"), _ordered_text(newest, "\n"), F.lit("\n\n")
+        F.lit("Latest messages, as background:\n"), _ordered_text(newest, "\n"), F.lit("\n\n")
     )
     return newest.groupBy("conv_id").agg(block.alias("block"))
 

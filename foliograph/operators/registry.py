@@ -19,9 +19,9 @@ def _registration(tier: Column, reg_ord: Column) -> Column:
 
 
 def primaries(entries: DataFrame) -> DataFrame:
-    """One entry per canonical key (``key`` + entry columns)."""
+    """One entry per canonical key (``key`` + entry columns); equal registrations by kind and name."""
     keyed = entries.select(alias_key(F.col("canonical_name")).alias("key"), *ENTRY).filter(F.col("key") != "")
-    return last_row(keyed, ["key"], _registration(F.col("tier"), F.col("reg_ord")))
+    return last_row(keyed, ["key"], F.struct(_registration(F.col("tier"), F.col("reg_ord")), "subdir", "canonical_name", "description"))
 
 
 def alias_index(entries: DataFrame) -> DataFrame:

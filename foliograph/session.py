@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,16 +46,35 @@ def local_session(cores: int | str = "*", app: str = "foliograph", **extra: str)
     return configure(spark)
 
 
-def shared_dir(spark: SparkSession) -> str | None:
-    """The folder every executor can reach, as named by the cluster.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder every executor can reach, as named by the cluster in spark.checkpoint.dir.
 
-    Only a single-machine session without that setting gets a folder of its own; on a cluster
-    an unset folder means plans stay lazy (and stream sinks must be given one).
+    A single-machine session without that setting gets a folder of its own; a cluster without it
+    is an error, since model calls would otherwise be repeated for every use of their results.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None and spark.sparkContext.master.startswith("local"):
-        return os.path.join(tempfile.gettempdir(), f"foliograph-{spark.sparkContext.applicationId}")
-    return named
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return os.path.join(tempfile.gettempdir(), f"foliograph-{spark.sparkContext.applicationId}")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make the package importable on the workers of this session, wherever it was started."""
+    context = spark.sparkContext
+    if getattr(context, "_foliograph_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="foliograph-"), "foliograph.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, names in os.walk(os.path.join(root, "foliograph")):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    archive.write(full, os.path.relpath(full, root))
+    context.addPyFile(path)
+    context._foliograph_shipped = True
 
 
 def persist_durably(df: DataFrame, label: str) -> DataFrame:
@@ -64,10 +84,7 @@ def persist_durably(df: DataFrame, label: str) -> DataFrame:
     expensive (model calls). Lost executors never lose it, and its file size lets Spark
     decide on broadcasting from a measured number.
     """
-    base = shared_dir(df.sparkSession)
-    if base is None:
-        return df
-    path = f"{base}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
