@@ -256,9 +256,7 @@ def _(t):
     return lint.thin_pages(t.wiki)
 
 
-@query(
-    "F12_bodyless",
-    rf"""WITH RECURSIVE cut AS (SELECT subdir, name, {_AFTER} AS t FROM uniq),
+_FOLD_SQL = rf"""cut AS (SELECT subdir, name, {_AFTER} AS t FROM uniq),
     ln AS (SELECT subdir, name, list_filter(list_transform(string_split(t, chr(10)), lambda l: {S.trim('l')}), lambda l: l <> '') AS ls FROM cut),
     fold AS (SELECT subdir, name, ls, 0 AS i, '' AS acc, false AS bp FROM ln
         UNION ALL
@@ -267,17 +265,18 @@ def _(t):
                WHEN bp AND starts_with(s, '- [[') THEN acc WHEN acc = '' THEN s ELSE acc || chr(10) || s END,
           CASE WHEN starts_with(s, '# ') AND acc = '' THEN bp WHEN {S.in_list('s', K.BOILERPLATE_HEADINGS)} THEN true
                WHEN bp AND starts_with(s, '- [[') THEN true ELSE false END
-        FROM (SELECT *, ls[i + 1] AS s FROM fold WHERE i < len(ls)))
-    SELECT subdir, name FROM fold WHERE i = len(ls) AND CASE subdir WHEN 'sources'
+        FROM (SELECT *, ls[i + 1] AS s FROM fold WHERE i < len(ls)))"""
+_BODYLESS_SQL = rf"""SELECT subdir, name FROM fold WHERE i = len(ls) AND CASE subdir WHEN 'sources'
       THEN length({S.trim("regexp_replace(acc, '(?m)^##[ ]+[A-Za-z0-9_][^" + chr(92) + "n]*$', '', 'g')")}) < 20
-      WHEN 'synthesis' THEN false ELSE acc = '' END""",
-    "wiki uniq",
-)
+      WHEN 'synthesis' THEN false ELSE acc = '' END"""
+
+
+@query("F12_bodyless", f"WITH RECURSIVE {_FOLD_SQL} {_BODYLESS_SQL}", "wiki uniq")
 def _(t):
     return lint.bodyless_pages(t.wiki)
 
 
-_REPORT_SQL = f"""
+_REPORT_SQL = f"""{_FOLD_SQL},
 broken AS (SELECT DISTINCT 'error' AS level, 'broken_link' AS code, u.src AS page, u.link_text AS target, '' AS detail FROM ulinks u WHERE lower(u.link_text) NOT IN (SELECT k FROM keys)),
 stale AS (SELECT DISTINCT 'error', 'stale_index', 'index', link_text, '' FROM (SELECT unnest(regexp_extract_all(line, '{S.LINK}', 1)) AS link_text FROM catalog) WHERE lower(link_text) NOT IN (SELECT k FROM keys)),
 orphan AS (SELECT 'warning', 'orphan', name, '', '' FROM uniq WHERE name NOT IN (SELECT k.dst FROM ulinks l JOIN keys k ON lower(l.link_text) = k.k)),
@@ -286,18 +285,19 @@ fmi AS (SELECT 'warning', 'frontmatter', name, '', p FROM (SELECT name, {_PROBLE
 iso AS (SELECT 'info', 'isolated', name, '', '' FROM uniq WHERE name NOT IN (SELECT src FROM ulinks)),
 thin AS (SELECT 'info', 'thin', name, '', '' FROM uniq WHERE length({S.trim('(' + _AFTER + ')')}) < 80),
 found AS (SELECT * FROM broken UNION ALL SELECT * FROM stale UNION ALL SELECT * FROM orphan UNION ALL SELECT * FROM unlisted
-  UNION ALL SELECT * FROM fmi UNION ALL SELECT * FROM iso UNION ALL SELECT * FROM thin)
+  UNION ALL SELECT * FROM fmi UNION ALL SELECT * FROM iso UNION ALL SELECT * FROM thin
+  UNION ALL SELECT 'warning', 'bodyless', name, '', '' FROM ({_BODYLESS_SQL}))
 """
 
 
-@query("I6_lint_report", f"WITH {_REPORT_SQL} SELECT * FROM found", "wiki catalog uniq uocc ulinks keys")
+@query("I6_lint_report", f"WITH RECURSIVE {_REPORT_SQL} SELECT * FROM found", "wiki catalog uniq uocc ulinks keys")
 def _(t):
-    return lint.report(t.wiki, t.catalog, bodyless=False)
+    return lint.report(t.wiki, t.catalog)
 
 
-@query("I6_lint_summary", f"WITH {_REPORT_SQL} SELECT level, code, count(*) AS n FROM found GROUP BY ALL", "wiki catalog uniq uocc ulinks keys")
+@query("I6_lint_summary", f"WITH RECURSIVE {_REPORT_SQL} SELECT level, code, count(*) AS n FROM found GROUP BY ALL", "wiki catalog uniq uocc ulinks keys")
 def _(t):
-    return lint.summary(lint.report(t.wiki, t.catalog, bodyless=False))
+    return lint.summary(lint.report(t.wiki, t.catalog))
 
 
 # --- index build, files, administration -------------------------------------------------------------

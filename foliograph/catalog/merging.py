@@ -131,22 +131,21 @@ def _(t):
 
 @query(
     "D5_rewritten_lists",
-    rf"""WITH m AS (SELECT 'entities' AS subdir, name, {S.anchored('sources')} AS sources, {S.anchored('tags')} AS tags, content FROM wiki WHERE subdir = 'entities')
-    SELECT name, regexp_replace(regexp_replace(content, 'tags: [^\n]*', 'tags: [' || array_to_string(list_reverse(tags), ', ') || ', merged]'),
-      'sources: [^\n]*', 'sources: [' || array_to_string(list_reverse(sources), ', ') || ']' || CASE WHEN contains(content, chr(10) || 'source_dates:') THEN '' ELSE chr(10) || 'source_dates: [2001]' END) AS content
-    FROM (SELECT name, sources, tags, CASE WHEN contains(content, chr(10) || 'source_dates:') THEN regexp_replace(content, 'source_dates: [^\n]*', 'source_dates: [2001]') ELSE content END AS content FROM m)""",
+    rf"""WITH m AS (SELECT subdir, name, {S.anchored('sources')} AS sources, {S.anchored('tags')} AS tags, content FROM wiki)
+    SELECT subdir, name, CASE WHEN NOT contains(substr(content, 4), chr(10) || '---') THEN content ELSE regexp_replace(regexp_replace(content, 'tags: [^\n]*', 'tags: [' || array_to_string(list_reverse(tags), ', ') || ', merged]'),
+      'sources: [^\n]*', 'sources: [' || array_to_string(list_reverse(sources), ', ') || ']' || CASE WHEN contains(content, chr(10) || 'source_dates:') THEN '' ELSE chr(10) || 'source_dates: [2001]' END) END AS content
+    FROM (SELECT subdir, name, sources, tags, CASE WHEN contains(content, chr(10) || 'source_dates:') THEN regexp_replace(content, 'source_dates: [^\n]*', 'source_dates: [2001]') ELSE content END AS content FROM m)""",
     "wiki",
 )
 def _(t):
     from foliograph.functions import pages as P
 
-    e = t.wiki.filter(F.col("subdir") == "entities")
     c = F.col("content")
     text = R.replace_list_fields(
         c, F.reverse(P.anchored_list(c, "sources")), F.array(F.lit("2001")),
         F.concat(F.reverse(P.anchored_list(c, "tags")), F.array(F.lit("merged"))),
     )
-    return e.select("name", text.alias("content"))
+    return t.wiki.select("subdir", "name", text.alias("content"))
 
 
 @query(
