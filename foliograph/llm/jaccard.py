@@ -13,7 +13,8 @@ Tiles may hold any share of the documents, so their pairs are never listed:
 
 1. every member of a tile is compared with the smallest id in it, what links is united;
 2. members that are not united with a tile's pivot, drawn by hash, are compared with it;
-3. what is left are pairs of different components within a tile; these are all compared.
+3. what is left are pairs of different components within a tile. Tiles are cut into blocks of about
+   BLOCK members, pairs of blocks meet in a task, and only pairs that the bitmaps let pass leave it.
 
 A pair is compared in two steps. Each set has a bitmap of BITS bits, one for each hash; every bit in
 which two differ stands for a shingle that one lacks, so they share at most (|x| + |y| - differing
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from foliograph.llm.common import ascii_lower, space_words, stored, table
 from foliograph.llm.fingerprints import shingle_hashes
 
-BANDS, ROWS, BITS = 40, 4, 512
+BANDS, ROWS, BITS, BLOCK = 40, 4, 512, 2048
 SIZE_STEP = 4  # a size band ends at so many times its beginning
 _SEEDS = np.random.default_rng(20240301).integers(0, 1 << 32, size=(2, BANDS * ROWS), dtype=np.uint32)
 _MIX = np.random.default_rng(20240302).integers(1, 1 << 63, size=ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -154,6 +155,68 @@ def _with_root(members: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
+def _near_in_group(node, n, root, block, bits, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (a, b) of a group of a tile's members whose sizes and bitmaps allow a link and whose roots differ.
+
+    Members of one block are paired with each other, those of two blocks with the other block's."""
+    first = np.flatnonzero(block == block.min())
+    second = first if len(first) == len(block) else np.flatnonzero(block != block.min())
+    found = []
+    for low in range(0, len(first), 256):
+        x = first[low:low + 256]
+        total = n[x][:, None] + n[second][None, :]
+        differing = np.zeros(total.shape, np.int64)
+        for word in range(bits.shape[1]):
+            differing += np.bitwise_count(bits[x, word][:, None] ^ bits[second, word][None, :])
+        near = (100 + percent) * ((total - differing) // 2) >= percent * total
+        near &= root[x][:, None] != root[second][None, :]
+        near &= 100 * np.minimum(n[x][:, None], n[second][None, :]) >= percent * np.maximum(n[x][:, None], n[second][None, :])
+        if second is first:
+            near &= node[x][:, None] < node[second][None, :]
+        i, j = np.nonzero(near)
+        a, b = node[x[i]], node[second[j]]
+        found.append((np.minimum(a, b), np.maximum(a, b)))
+    return found
+
+
+def near_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Distinct candidate pairs (a, b) of members (tile, count, node, n, root, bits) with different roots."""
+    blocks = F.greatest(F.ceil(F.col("count") / BLOCK), F.lit(1))
+    own = F.pmod(F.xxhash64("node", F.lit(11)), blocks)
+    meets = members.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    grouped = meets.select(
+        "tile", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "root", "bits"
+    )
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs_of(keys: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+            new = np.flatnonzero(np.any(keys[:3, 1:] != keys[:3, :-1], axis=0)) + 1
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            for low, high in zip(np.concatenate([[0], new]), np.concatenate([new, [keys.shape[1]]]), strict=True):
+                if high - low > 1:
+                    block, node, n, root = keys[3:, low:high]
+                    found += _near_in_group(node, n, root, block, bits[low:high], percent)
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        keys, bits = np.zeros((7, 0), np.int64), np.zeros((0, BITS // 64), np.uint64)
+        for batch in batches:
+            more = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("tile", "i", "j", "block", "node", "n", "root")])
+            flat = batch.column("bits").flatten().to_numpy().view(np.uint64).reshape(-1, BITS // 64)
+            keys, bits = np.concatenate([keys, more], axis=1), np.concatenate([bits, flat])
+            # The last group may go on in the next batch.
+            others = np.flatnonzero(np.any(keys[:3] != keys[:3, -1:], axis=0))
+            end = int(others[-1]) + 1 if len(others) else 0
+            if end:
+                yield pairs_of(keys[:, :end], bits[:end])
+                keys, bits = keys[:, end:], bits[end:]
+        if keys.shape[1]:
+            yield pairs_of(keys, bits)
+
+    dealt = grouped.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j")
+    return dealt.mapInArrow(compare, "a long, b long").distinct()
+
+
 def _grown(found: DataFrame, linked: DataFrame, more: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links and components with the new links, if there are any."""
     if more.isEmpty():
@@ -199,18 +262,16 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Pivots drawn by hash, for what the first one did not unite.
     rooted = stored(_with_root(members.select("tile", "node", "n"), roots), "jaccard-rooted")
     mixed = rooted.groupBy("tile").agg(
-        F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(F.xxhash64("node", "tile").alias("h"), "node", "root", "n")).alias("p")
-    ).filter("low <> high").select("tile", "p")
+        F.count(F.lit(1)).alias("count"), F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(F.xxhash64("node", "tile").alias("h"), "node", "root", "n")).alias("p")
+    ).filter("low <> high").select("tile", "count", "p")
     mixed = stored(mixed, "jaccard-mixed")
     open_ = rooted.join(mixed, "tile")
     drawn = open_.filter(F.col("root") != F.col("p.root")).select(*_pairs(F.col("node"), F.col("p.node"), F.col("n"), F.col("p.n"), percent))
     more = links(drawn.filter("fits").select("a", "b").distinct(), reps, sets, percent)
     linked, roots = _grown(found, linked, more, roots)
     # All pairs that are left between components within a tile.
-    rooted = stored(_with_root(open_.select("tile", "node", "n"), roots), "jaccard-rooted")
-    other = rooted.select("tile", F.col("node").alias("node_b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    rest = rooted.join(other, "tile").filter("root < root_b").select(*_pairs(F.col("node"), F.col("node_b"), F.col("n"), F.col("n_b"), percent))
-    more = links(rest.filter("fits").select("a", "b").distinct(), reps, sets, percent)
+    rest = _with_root(open_.select("tile", "count", "node", "n"), roots).join(reps.select("node", "bits"), "node")
+    more = links(near_pairs(rest, percent), reps, sets, percent)
     linked, roots = _grown(found, linked, more, roots)
 
     placed = own.select("doc", "n", "class").join(_with_root(classes.select("class", "node"), roots).select("class", "root"), "class", "left")
