@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings the plans rely on: AQE re-plans joins from measured sizes (so a side
@@ -60,6 +61,11 @@ def shared_dir(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), f"foliograph-{spark.sparkContext.applicationId}")
 
 
+def is_missing_path(error: AnalysisException) -> bool:
+    """Whether a read failed because nothing is there; any other failure is no empty table."""
+    return error.getCondition() == "PATH_NOT_FOUND"
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make the package importable on the workers of this session, wherever it was started."""
     context = spark.sparkContext

@@ -1,14 +1,16 @@
 """JSON sidecar files of a wiki: registry tiers, judge and embedding caches, calibration samples.
 
-Missing or corrupt content reads as empty; it never stops a job.
+A missing file and corrupt content read as empty; a read that fails otherwise is an error.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliograph.functions.text import blank, trim_ws
+from foliograph.session import is_missing_path
 
 _ENTRY = (
     "struct<canonical_name:string,canonical_type:string,compatible_types:array<string>,"
@@ -19,7 +21,9 @@ _ENTRY = (
 def _text(spark: SparkSession, path: str) -> DataFrame:
     try:
         return spark.read.text(path, wholetext=True)
-    except Exception:
+    except AnalysisException as e:
+        if not is_missing_path(e):
+            raise
         return spark.createDataFrame([], "value string")
 
 
