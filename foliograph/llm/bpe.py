@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliograph.llm.common import slices, table
+
 # Fixed values of the vocabulary: its split pattern, and its special string with the id.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPECIAL = ("<|endoftext|>", 50256)
@@ -218,7 +220,7 @@ def encode(
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path)
-        for batch in batches:
+        for batch in slices(batches):
             found = [
                 np.array(c.ordinary(x), dtype=np.int32) if c.special[0] not in x
                 else c.join_segments([np.array(c.ordinary(s), dtype=np.int32) for s in c.segments(x)])
@@ -295,7 +297,7 @@ def decode(df: DataFrame, ids_col: str = "ids", name: str = "decoded", ranks_pat
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path)
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column(ids_col)
             values, offsets = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
             found = [c.text(values[a:b].tolist()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
@@ -316,6 +318,4 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    from foliograph.llm.common import table
-
     return digests(table(spark, sf_dir, "documents"))

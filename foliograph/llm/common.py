@@ -53,6 +53,17 @@ def stored(df: DataFrame, label: str, partition_by: str | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batches, rows: int = 1024):
+    """Arrow batches in slices: what a task holds at a time is bounded by few texts. Memory that
+    was freed goes back to the system between batches."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+        pa.default_memory_pool().release_unused()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import ascii_lower, space_words, stored, table
+from foliograph.llm.common import ascii_lower, slices, space_words, stored, table
 from foliograph.llm.fingerprints import shingle_hashes
 
 BANDS, ROWS, BITS, BLOCK = 40, 4, 512, 2048
@@ -77,7 +77,7 @@ def sketches(sets: DataFrame) -> DataFrame:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        for batch in batches:
+        for batch in slices(batches):
             column = batch.column("hashes")
             values, ends = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
             sizes, classes = np.diff(ends).astype(np.int32), []

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import partitions, stored, table
+from foliograph.llm.common import partitions, slices, stored, table
 
 LENGTH, GRAM = 100, 24
 FACTOR = 0x9E3779B97F4A7C15 | 1
@@ -287,7 +287,7 @@ def _packed(rows: DataFrame) -> DataFrame:
         import zstandard
 
         compressor = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in slices(batches):
             names = [n for n in batch.schema.names if n != "body"]
             packed = pa.array([compressor.compress(x.as_py().encode()) for x in batch.column("body")], pa.binary())
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], packed], names=[*names, "packed"])
@@ -303,8 +303,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 2048):
-                part = batch.slice(low, 2048)
+            for part in slices([batch], 2048):
                 number, place, gram, around = text_anchors([x.as_py().encode() for x in part.column("body")], length)
                 doc, variant = (part.column(c).to_numpy()[number] for c in ("doc", "variant"))
                 yield pa.RecordBatch.from_arrays(
@@ -404,7 +403,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         import zstandard
 
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in slices(batches):
             sizes, kept, spans = [], [], []
             for packed, covered in zip(batch.column("packed"), batch.column("covered"), strict=True):
                 text = unpack.decompress(packed.as_py())

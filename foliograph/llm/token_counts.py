@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliograph.llm import bpe
+from foliograph.llm.common import slices, table
 
 RULES = ("start", "end", "share")
 
@@ -113,7 +114,7 @@ def count_tokens(
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = bpe.codec(ranks_path)
-        for batch in batches:
+        for batch in slices(batches):
             columns: list[list[np.ndarray]] = [[], [], [], [], []]
             sizes = [0]
             for text, given in zip(batch.column("body").to_pylist(), batch.column("spans").to_pylist(), strict=True):
@@ -141,8 +142,6 @@ def count_tokens(
 
 def query(spark, sf_dir: str) -> DataFrame:
     """Tokens of every line of documents; a token belongs to the line of its first character."""
-    from foliograph.llm.common import table
-
     counts = count_tokens(table(spark, sf_dir, "documents"))
     return counts.select(
         "doc.doc_id", F.col("part").alias("line"), "part_start", "part_end",

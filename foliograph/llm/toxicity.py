@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliograph.llm.common import bounded_labels, table
+from foliograph.llm.common import bounded_labels, slices, table
 
 DEPTH, WIDTH = 2, 1 << 20
 PREFIXES = (4, 5, 6)
@@ -248,7 +248,7 @@ def _scored(model_handle, body: str, keep: list[str], out: T.StructType):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_handle.value
         scorer = Scorer(model)
-        for batch in batches:
+        for batch in slices(batches):
             passages, sums = [], []
             for text in batch.column(body).to_pylist():
                 found = model.passages(*scorer.text(text))

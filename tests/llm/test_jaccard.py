@@ -79,3 +79,13 @@ def test_links_of_classes(spark):
 
 def test_empty_table(spark):
     assert found(spark.createDataFrame([], "doc_id long, text string")) == []
+
+
+def test_tiles_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    rng = random.Random(8)
+    shared = [f"s{i}" for i in range(60)]
+    rows = [(k, " ".join(shared + [f"own{k}x{i}" for i in range(12 + rng.randint(0, 3))])) for k in range(40)]
+    rows += [(k + 100, t + " tail") for k, t in rows[::4]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(docs) == brute(rows)
