@@ -106,13 +106,13 @@ def sketches(sets: DataFrame) -> DataFrame:
 
 
 def tiles(reps: DataFrame, percent: int) -> DataFrame:
-    """(tile, node, n): the tiles of each class."""
+    """(tile, k, node, n): the tiles of each class."""
     band = F.floor(F.log("n") / F.log(F.lit(float(SIZE_STEP))) + 1e-9)
     # It also meets sets of up to n * percent / 100 in the band below.
     low = (F.col("n") * percent < 100 * F.pow(F.lit(float(SIZE_STEP)), band)) & (band > 0)
     sizes = F.when(low, F.array(band, band - 1)).otherwise(F.array(band))
     sized = reps.withColumn("size", F.explode(sizes)).select("node", "n", "size", F.posexplode("bands").alias("k", "value"))
-    return sized.select(F.xxhash64("size", "k", "value").alias("tile"), "node", "n")
+    return sized.select(F.xxhash64("size", "k", "value").alias("tile"), "k", "node", "n")
 
 
 def links(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -155,10 +155,11 @@ def _with_root(members: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def _near_in_group(node, n, root, block, bits, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def _near_in_group(node, n, root, block, bits, bands, k: int, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Pairs (a, b) of a group of a tile's members whose sizes and bitmaps allow a link and whose roots differ.
 
-    Members of one block are paired with each other, those of two blocks with the other block's."""
+    Members of one block are paired with each other, those of two blocks with the other block's. A pair
+    comes out of the first tile, by k, that it shares."""
     first = np.flatnonzero(block == block.min())
     second = first if len(first) == len(block) else np.flatnonzero(block != block.min())
     found = []
@@ -174,18 +175,21 @@ def _near_in_group(node, n, root, block, bits, percent: int) -> list[tuple[np.nd
         if second is first:
             near &= node[x][:, None] < node[second][None, :]
         i, j = np.nonzero(near)
-        a, b = node[x[i]], node[second[j]]
+        i, j = x[i], second[j]
+        own = np.argmax(bands[i] == bands[j], axis=1) == k
+        a, b = node[i[own]], node[j[own]]
         found.append((np.minimum(a, b), np.maximum(a, b)))
     return found
 
 
 def near_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Distinct candidate pairs (a, b) of members (tile, count, node, n, root, bits) with different roots."""
+    """Distinct candidate pairs (a, b) of members (tile, k, count, node, n, root, bits, bands) with different roots."""
     blocks = F.greatest(F.ceil(F.col("count") / BLOCK), F.lit(1))
     own = F.pmod(F.xxhash64("node", F.lit(11)), blocks)
     meets = members.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     grouped = meets.select(
-        "tile", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "root", "bits"
+        "tile", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "k", "node", "n", "root",
+        F.concat("bits", "bands").alias("bits"),
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,15 +198,17 @@ def near_pairs(members: DataFrame, percent: int) -> DataFrame:
             found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
             for low, high in zip(np.concatenate([[0], new]), np.concatenate([new, [keys.shape[1]]]), strict=True):
                 if high - low > 1:
-                    block, node, n, root = keys[3:, low:high]
-                    found += _near_in_group(node, n, root, block, bits[low:high], percent)
+                    block, k, node, n, root = keys[3:, low:high]
+                    own, bands = bits[low:high, : BITS // 64], bits[low:high, BITS // 64:]
+                    found += _near_in_group(node, n, root, block, own, bands, k[0], percent)
             a, b = (np.concatenate(x) for x in zip(*found, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-        keys, bits = np.zeros((7, 0), np.int64), np.zeros((0, BITS // 64), np.uint64)
+        width = BITS // 64 + BANDS
+        keys, bits = np.zeros((8, 0), np.int64), np.zeros((0, width), np.uint64)
         for batch in batches:
-            more = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("tile", "i", "j", "block", "node", "n", "root")])
-            flat = batch.column("bits").flatten().to_numpy().view(np.uint64).reshape(-1, BITS // 64)
+            more = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("tile", "i", "j", "block", "k", "node", "n", "root")])
+            flat = batch.column("bits").flatten().to_numpy().view(np.uint64).reshape(-1, width)
             keys, bits = np.concatenate([keys, more], axis=1), np.concatenate([bits, flat])
             # The last group may go on in the next batch.
             others = np.flatnonzero(np.any(keys[:3] != keys[:3, -1:], axis=0))
@@ -246,7 +252,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         tiled.groupBy("tile").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("pivot")).filter("members > 1").select("tile", "pivot"),
         "jaccard-tiles",
     )
-    members = stored(tiled.join(shared, "tile").select("tile", "node", "n", "pivot"), "jaccard-members")
+    members = stored(tiled.join(shared, "tile").select("tile", "k", "node", "n", "pivot"), "jaccard-members")
     wanted = members.select("node").distinct()
     sets = shingle_sets(known.join(wanted, "node", "left_semi"), "node", "body")
     sets = stored(sets.select(F.col("doc").alias("node"), "hashes"), "jaccard-sets")
@@ -260,7 +266,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = links(star, reps, sets, percent)
     roots = components(found.union(linked))
     # Pivots drawn by hash, for what the first one did not unite.
-    rooted = stored(_with_root(members.select("tile", "node", "n"), roots), "jaccard-rooted")
+    rooted = stored(_with_root(members.select("tile", "k", "node", "n"), roots), "jaccard-rooted")
     mixed = rooted.groupBy("tile").agg(
         F.count(F.lit(1)).alias("count"), F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(F.xxhash64("node", "tile").alias("h"), "node", "root", "n")).alias("p")
     ).filter("low <> high").select("tile", "count", "p")
@@ -270,7 +276,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = links(drawn.filter("fits").select("a", "b").distinct(), reps, sets, percent)
     linked, roots = _grown(found, linked, more, roots)
     # All pairs that are left between components within a tile.
-    rest = _with_root(open_.select("tile", "count", "node", "n"), roots).join(reps.select("node", "bits"), "node")
+    rest = _with_root(open_.select("tile", "k", "count", "node", "n"), roots).join(reps.select("node", "bits", "bands"), "node")
     more = links(near_pairs(rest, percent), reps, sets, percent)
     linked, roots = _grown(found, linked, more, roots)
 
