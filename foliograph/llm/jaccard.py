@@ -23,6 +23,11 @@ bits) / 2 shingles. Where that bound reaches what the link needs, the sorted arr
 Components are found by alternately linking all larger neighbours and all smaller ones to the
 smallest neighbour (large and small stars), over stored tables.
 
+Stars connect components, but leave most links of a large one unseen. As both ends of a link are in one
+component, all links are then read off the components: each is cut into blocks by hash, pairs of
+blocks meet in a task with their sorted arrays, and every pair of sets that the bitmaps let pass is
+compared exactly. Links are counted in that task, so that no list of a component's pairs is shuffled.
+
 Defined cases: null, empty and blank texts have an empty set and link with nothing; rows that repeat an
 id are one document and linked; rows with a null id link with nothing and have no component; other
 columns are not needed, and may have any name. An empty table gives an empty table.
@@ -41,6 +46,7 @@ from foliograph.llm.common import ascii_lower, slices, space_words, stored, tabl
 from foliograph.llm.fingerprints import shingle_hashes
 
 BANDS, ROWS, BITS, BLOCK = 40, 4, 512, 2048
+HASHES = 1 << 20  # about so many in a block whose links are counted
 SIZE_STEP = 4  # a size band ends at so many times its beginning
 _SEEDS = np.random.default_rng(20240301).integers(0, 1 << 32, size=(2, BANDS * ROWS), dtype=np.uint32)
 _MIX = np.random.default_rng(20240302).integers(1, 1 << 63, size=ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -236,16 +242,125 @@ def _pairs(a: Column, b: Column, na: Column, nb: Column, percent: int) -> list[C
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), (100 * F.least(na, nb) >= percent * F.greatest(na, nb)).alias("fits")]
 
 
-def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(rows (doc, n, component), links (a, b) between class representatives).
+def _with_class(sets: DataFrame) -> DataFrame:
+    """(class, hashes) of sets, as sketches names classes."""
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        for batch in slices(batches):
+            column = batch.column("hashes")
+            values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+            classes = [hashlib.blake2b(values[a:b].tobytes(), digest_size=16).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.string()), column], names=["class", "hashes"])
+
+    return sets.select("hashes").mapInArrow(name, "class string, hashes array<long>")
+
+
+def in_blocks(reps: DataFrame, sets: DataFrame) -> DataFrame:
+    """(root, i, j, block, class, node, n, rows, bits, hashes): the classes (class, node, n, bits, rows, root) of
+    components of several, with their sets, once for each pair (i, j) of blocks that has theirs."""
+    sizes = reps.groupBy("root").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("hashes")).filter("count > 1")
+    blocks = F.greatest(F.ceil(F.col("count") / BLOCK), F.ceil(F.col("hashes") / HASHES))
+    held = reps.join(sizes.select("root", blocks.alias("blocks")), "root")
+    # Rows that repeat an id repeat its sets.
+    full = held.join(_with_class(sets), "class").dropDuplicates(["class"])
+    meets = full.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks"))).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    )
+    return meets.select(
+        "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class", "node", "n", "rows", "bits", "hashes"
+    )
+
+
+def _linked_in_group(n, block, bits, values, ends, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (x, y) of the pairs of a group's sets that link, each once.
+
+    Sets of one block are paired with each other, those of two blocks with the other block's."""
+    first = np.flatnonzero(block == block.min())
+    second = first if len(first) == len(block) else np.flatnonzero(block != block.min())
+    ids = np.unique(values, return_inverse=True)[1]
+    own, left, right = np.zeros(ids.max() + 1, np.int32), [], []
+    for x in first:
+        total = n[x] + n[second]
+        differing = np.bitwise_count(bits[x] ^ bits[second]).sum(axis=1, dtype=np.int64)
+        near = (100 + percent) * ((total - differing) // 2) >= percent * total
+        if second is first:
+            near &= second > x
+        y = second[near]
+        if not len(y):
+            continue
+        held = ids[ends[x]:ends[x + 1]]
+        own[held] = 1
+        if 4 * len(y) > len(n):
+            common = np.add.reduceat(own[ids], ends[:-1])[y]
+        else:
+            common = np.array([own[ids[ends[k]:ends[k + 1]]].sum() for k in y])
+        own[held] = 0
+        y = y[(100 + percent) * common.astype(np.int64) >= percent * (n[x] + n[y])]
+        left.append(np.full(len(y), x))
+        right.append(y)
+    empty = np.zeros(0, np.int64)
+    return np.concatenate([empty, *left]), np.concatenate([empty, *right])
+
+
+def _over_groups(members: DataFrame, percent: int, told, schema: str) -> DataFrame:
+    """What told(batch, x, y) gives of each group of members, and the places x, y of its pairs that link."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def linked(group: pa.RecordBatch) -> pa.RecordBatch:
+            n, block = (group.column(c).to_numpy().astype(np.int64) for c in ("n", "block"))
+            bits = group.column("bits").flatten().to_numpy().view(np.uint64).reshape(-1, BITS // 64)
+            ends = np.concatenate([[0], np.cumsum(n)])
+            return told(group, *_linked_in_group(n, block, bits, group.column("hashes").flatten().to_numpy(), ends, percent))
+
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            batch = batch if rest is None else pa.concat_batches([rest, batch])
+            keys = np.stack([batch.column(c).to_numpy() for c in ("root", "i", "j")])
+            starts = np.concatenate([[0], np.flatnonzero(np.any(keys[:, 1:] != keys[:, :-1], axis=0)) + 1])
+            for low, high in zip(starts[:-1], starts[1:], strict=True):
+                yield linked(batch.slice(low, high - low))
+            rest = batch.slice(starts[-1])  # it may go on in the next batch
+        if rest is not None:
+            yield linked(rest)
+
+    dealt = members.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    return dealt.mapInArrow(compare, schema)
+
+
+def all_links(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the smallest ids of each pair of sets that links, a <= b."""
+
+    def told(group: pa.RecordBatch, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        node = group.column("node").to_numpy()
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))], names=["a", "b"])
+
+    return _over_groups(members, percent, told, "a long, b long")
+
+
+def link_counts(members: DataFrame, percent: int) -> DataFrame:
+    """(class, links): how many rows of other sets each class links with; counts are summed over pairs of blocks."""
+
+    def told(group: pa.RecordBatch, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        rows, counts = group.column("rows").to_numpy(), np.zeros(group.num_rows, np.int64)
+        np.add.at(counts, x, rows[y])
+        np.add.at(counts, y, rows[x])
+        return pa.RecordBatch.from_arrays([group.column("class"), pa.array(counts)], names=["class", "links"])
+
+    return _over_groups(members, percent, told, "class string, links long").groupBy("class").agg(F.sum("links").alias("links"))
 
-    One row for each row of docs; component is the smallest id that links reach."""
+
+def _joined(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows (doc, n, class, component), classes (class, node, n, rows), members as of in_blocks)."""
     known = docs.select(F.col(f"`{id_col}`").cast("long").alias("node"), F.col(f"`{text_col}`").alias("body"))
     own = stored(sketches(shingle_sets(docs, id_col, text_col)), "jaccard-sketches")
     filled = own.filter("n > 0 AND doc IS NOT NULL")
-    classes = stored(filled.groupBy("class").agg(F.min("doc").alias("node"), F.max("n").alias("n")), "jaccard-classes")
+    classes = stored(filled.groupBy("class").agg(F.min("doc").alias("node"), F.max("n").alias("n"), F.count(F.lit(1)).alias("rows")), "jaccard-classes")
     chosen = classes.select("class", F.col("node").alias("doc"))
-    reps = filled.join(chosen, ["class", "doc"], "left_semi").dropDuplicates(["class"]).select(F.col("doc").alias("node"), "n", "bits", "bands")
+    reps = filled.join(chosen, ["class", "doc"], "left_semi").dropDuplicates(["class"]).select("class", F.col("doc").alias("node"), "n", "bits", "bands")
     reps = stored(reps, "jaccard-classes-bits")
     tiled = tiles(reps, percent)
     shared = stored(
@@ -278,13 +393,36 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # All pairs that are left between components within a tile.
     rest = _with_root(open_.select("tile", "k", "count", "node", "n"), roots).join(reps.select("node", "bits", "bands"), "node")
     more = links(near_pairs(rest, percent), reps, sets, percent)
-    linked, roots = _grown(found, linked, more, roots)
+    _, roots = _grown(found, linked, more, roots)
 
     placed = own.select("doc", "n", "class").join(_with_root(classes.select("class", "node"), roots).select("class", "root"), "class", "left")
-    rows = placed.select("doc", "n", F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc")).alias("component"))
-    return rows.withColumn("component", F.when(F.col("doc").isNotNull(), F.col("component"))), linked
+    rows = placed.select("doc", "n", "class", F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc")).alias("component"))
+    rows = rows.withColumn("component", F.when(F.col("doc").isNotNull(), F.col("component")))
+    held = reps.join(classes.select("class", "rows"), "class").select("class", "node", "n", "bits", "rows")
+    return rows, classes, in_blocks(_with_root(held, roots), sets)
+
+
+def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """(rows (doc, n, component), links (a, b) between class representatives).
+
+    One row for each row of docs; component is the smallest id that links reach. links has each pair of
+    different sets that links, once; it is computed when read."""
+    rows, _, members = _joined(docs, id_col, text_col, percent)
+    return rows.drop("class"), all_links(members, percent)
+
+
+def join_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+    """(doc, n, component, links), one row for each row of docs; links is the number of other rows, with an
+    equal set or another, that it links with."""
+    rows, classes, members = _joined(docs, id_col, text_col, percent)
+    others = link_counts(members, percent).withColumnRenamed("links", "others")
+    counted = classes.join(others, "class", "left").select("class", (F.col("rows") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    links = F.when(F.col("doc").isNotNull() & (F.col("n") > 0), F.col("links")).otherwise(F.lit(0)).cast("long")
+    return rows.join(stored(counted, "jaccard-counts"), "class", "left").select("doc", "n", "component", links.alias("links"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    rows, _ = join_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return rows.select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
+    rows = join_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select(
+        F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"), F.col("links").alias("n_links"),
+    )

@@ -89,3 +89,29 @@ def test_tiles_in_blocks(spark, monkeypatch):
     rows += [(k + 100, t + " tail") for k, t in rows[::4]]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert found(docs) == brute(rows)
+
+
+def test_all_links(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for k in range(60):  # nearly all pairs link, and stars see few of them
+        words = base.copy()
+        for _ in range(rng.randint(0, 2)):
+            words[rng.randrange(150)] = f"new{rng.randint(0, 10**6)}"
+        rows.append((k, " ".join(words)))
+    rows += [(200 + k, "  ".join(t.split())) for k, t in rows[:9]] + [(300, "alone " * 9), (301, ""), (None, rows[0][1])]
+    rows += [(400, rows[3][1]), (400, " ".join(f"x{i}" for i in range(40))), (401, " ".join(f"x{i}" for i in range(41)))]
+    sets = [(i, shingles(t)) for i, t in rows]
+    same = lambda a, b: a and b and 100 * len(a & b) >= 80 * len(a | b)
+    want = sorted((str(i), len(a), sum(bool(same(a, b)) for y, (j, b) in enumerate(sets) if x != y and None not in (i, j))) for x, (i, a) in enumerate(sets))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    least = {}
+    for i, a in sets:
+        if a and i is not None:
+            least[frozenset(a)] = min(i, least.get(frozenset(a), i))
+    different = sorted((min(p, q), max(p, q)) for x, (a, p) in enumerate(least.items()) for b, q in list(least.items())[:x] if same(a, b))
+    for block in (2048, 7):
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        assert sorted((str(r.doc), r.n, r.links) for r in jaccard.join_counts(docs).collect()) == want
+        assert sorted(tuple(r) for r in jaccard.join_components(docs)[1].collect()) == different
