@@ -68,6 +68,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def sampled(key: Column, n: int, most: int) -> Column:
+    """Whether a key is among about `most` of n, chosen by hash."""
+    return F.lit(True) if n <= most else F.pmod(F.xxhash64(key, F.lit(3)), F.lit(1_000_000)) < int(1_000_000 * most / n)
+
+
 def bounded_labels(labels: DataFrame, id_col: str, label_col: str, most: int, combine) -> DataFrame:
     """(_id, _label) of the ids with a label 0 or 1; about `most` of them, chosen by hash, if there
     are more. The table's size has that bound, so it is marked for broadcast: labelled texts are
@@ -75,7 +80,4 @@ def bounded_labels(labels: DataFrame, id_col: str, label_col: str, most: int, co
     known = labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(
         combine(F.col(label_col)).alias("_label")
     )
-    n = known.count()
-    if n > most:
-        known = known.filter(F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(1_000_000)) < int(1_000_000 * most / n))
-    return F.broadcast(known)
+    return F.broadcast(known.filter(sampled(F.col("_id"), known.count(), most)))

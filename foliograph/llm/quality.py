@@ -2,7 +2,7 @@
 
 1. Shape features of a text (capitals, symbols, words without letters, repeated words, line and
    word lengths) fall into bins. The log-odds of each bin come from counts over all labelled
-   rows, with a prior that spreads `prior_rows` rows over the bins of a feature. Their sum is the
+   rows (of very many, over a sample), with a prior that spreads `prior_rows` rows over the bins of a feature. Their sum is the
    evidence of a document.
 2. Hosts: each document counts as good by its label, or else by its probability under the global
    rate. A host's rate is shrunk toward the global one with a strength estimated by moments from
@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import bounded_labels, space_words, stored, table
+from foliograph.llm.common import sampled, space_words, stored, table
 
 BINS = 24
 FEATURES = ("capitals", "symbols", "wordless", "distinct", "word_length", "line_length")
@@ -120,18 +120,20 @@ def classify(
     threshold: float = 0.5, most_labels: int = 200_000,
 ) -> DataFrame:
     """{doc: all columns, evidence, host_rate, path_rate, score, keep}. learn: which rows of labels are learnt
-    from (a condition on them), of which about `most_labels` are used if there are more; score is the
-    probability of label 1, and keep is score >= threshold."""
+    from (a condition on them). If there are more, the weights of the bins are fitted to about `most_labels` of
+    them; hosts and paths count every label. score is the probability of label 1, and keep is score >= threshold."""
     used = labels.filter(learn) if learn is not None else labels
-    used = bounded_labels(used, id_col, label_col, most_labels, lambda c: F.avg(c.cast("double"))).withColumnRenamed("_label", "_good")
+    known = used.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.avg(F.col(label_col).cast("double")).alias("_good"))
+    known = stored(known, "quality-labels")
+    fits = F.col("_good").isNotNull() & sampled(F.col("_id"), known.count(), most_labels)
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
         F.col(f"`{id_col}`").alias("_id"), F.col(f"`{host_col}`").cast("string").alias("host"),
         F.col(f"`{path_col}`").cast("string").alias("path"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_body"),
     )
     binned = with_bins(rows, F.col("_body")).drop("_body")
-    narrow = stored(binned.drop("doc").join(used, "_id", "left"), "quality-bins")
-    weights = bin_weights(narrow.filter(F.col("_good").isNotNull()).select("bins", F.col("_good").alias("good")), prior_rows)
+    narrow = stored(binned.drop("doc").join(known, "_id", "left"), "quality-bins")
+    weights = bin_weights(narrow.filter(fits).select("bins", F.col("_good").alias("good")), prior_rows)
 
     def evidence() -> Column:
         terms = [F.get(F.array(*[F.lit(w) for w in weights[i]]), F.get("bins", F.lit(i))) for i in range(len(FEATURES))]
@@ -149,7 +151,7 @@ def classify(
     over_paths = _strength(shrunk, "path_good", "path_n", F.col("level"))
     both = both.select(F.col("host").alias("h"), F.col("path").alias("p"), "path_good", "path_n", "host_good", "host_n")
     # Labels are known for learning only; a document's own guess is what is taken out of its priors.
-    labelled = binned.join(used, "_id", "left").withColumn("evidence", evidence())
+    labelled = binned.join(known, "_id", "left").withColumn("evidence", evidence())
     placed = labelled.withColumn("own", F.coalesce("_good", _sigmoid(F.col("evidence") + _logit(F.lit(rate))))).join(
         both, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p"))
     )

@@ -77,6 +77,17 @@ def test_quality_odd_rows(spark, labels):
     assert quality.classify(docs.limit(0), spark.createDataFrame(labels, "doc_id long, quality int")).count() == 0
 
 
+def test_quality_sites_count_all_labels(spark):
+    rng = random.Random(3)
+    rows = [(i, f"{i} same words", f"h{i % 5}", f"p{i % 3}", int(rng.random() < (i % 5) / 5)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, quality int")
+    rates = []
+    for most in (200_000, 40):
+        judged = quality.classify(docs, docs.select("doc_id", "quality"), most_labels=most)
+        rates.append({r.doc_id: (round(r.host_rate, 9), round(r.path_rate, 9)) for r in judged.select("doc.doc_id", "host_rate", "path_rate").collect()})
+    assert rates[0] == rates[1]
+
+
 def test_lines_odd_rows(spark):
     line = "A line of more than forty characters, with É and é in it"
     rows = [(i, f"{i}\n \t{line.replace('A', 'a')}\n\n{line}\r", "x") for i in range(4)]
