@@ -7,6 +7,9 @@
    by their distance in the item: what is left are alignments (document, item, position of the
    item's first word). Exact phrases, and words near each other, are then read off the documents
    of these alignments, which are few.
+4. For words near each other, terms are chosen among those that do occur: a window gives the pairs of
+   its three rarest, and the distance of a pair may differ by `slop` words. So a window with words put
+   in, left out or changed still has an alignment, if two of its three stand about where they should.
 
 Words are runs of A-Z (lower-cased), digits and non-ASCII characters. A window is `window`
 consecutive words of an item; an item with fewer words, but not none, is one window. A document's
@@ -58,17 +61,22 @@ def term_counts(rows: DataFrame, terms: DataFrame) -> DataFrame:
     return tokens.join(F.broadcast(terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
-def anchors(texts: DataFrame, counts: DataFrame, window: int) -> DataFrame:
-    """(text, first, second, first_term, second_term): for each window the places in its text of its
-    rarest and next rarest term (the same if it has one word). Windows with a term that never occurs
-    cannot match and have none."""
+def _windows(texts: DataFrame, counts: DataFrame, window: int) -> DataFrame:
+    """(text, start, terms): the terms (n, place, term) of each window, rarest first."""
     places = texts.select("text", F.size("words").alias("length"), F.posexplode("words").alias("place", "term"))
     known = places.join(counts, "term", "left").select("text", "length", "place", "term", F.coalesce("n", F.lit(0)).alias("n"))
     span = F.least(F.lit(window), F.col("length"))
     starts = F.sequence(F.greatest(F.lit(0), F.col("place") - span + 1), F.least(F.col("place"), F.col("length") - span))
-    windows = known.withColumn("start", F.explode(starts)).groupBy("text", "start").agg(
+    return known.withColumn("start", F.explode(starts)).groupBy("text", "start").agg(
         F.array_sort(F.collect_list(F.struct("n", "place", "term"))).alias("terms")  # `window` entries at most
     )
+
+
+def anchors(texts: DataFrame, counts: DataFrame, window: int) -> DataFrame:
+    """(text, first, second, first_term, second_term): for each window the places in its text of its
+    rarest and next rarest term (the same if it has one word). Windows with a term that never occurs
+    cannot match and have none."""
+    windows = _windows(texts, counts, window)
     first, second = F.get("terms", F.lit(0)), F.coalesce(F.get("terms", F.lit(1)), F.get("terms", F.lit(0)))
     return windows.filter(first["n"] > 0).select(
         "text", first["place"].alias("first"), second["place"].alias("second"),
@@ -76,14 +84,28 @@ def anchors(texts: DataFrame, counts: DataFrame, window: int) -> DataFrame:
     ).distinct()
 
 
+def near_anchors(texts: DataFrame, counts: DataFrame, window: int) -> DataFrame:
+    """Rows like those of anchors: for each window the pairs of its three rarest terms among those that
+    occur; the only one with itself."""
+    known = _windows(texts, counts, window).select("text", F.filter("terms", lambda t: t["n"] > 0).alias("terms")).filter(F.size("terms") > 0)
+    one, two, three = (F.get("terms", F.lit(i)) for i in range(3))
+    pair = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    pairs = F.filter(F.array(pair(one, F.coalesce(two, one)), pair(one, three), pair(two, three)), lambda p: p["y"].isNotNull())
+    return known.select("text", F.explode(pairs).alias("p")).select(
+        "text", F.col("p.x.place").alias("first"), F.col("p.y.place").alias("second"),
+        F.col("p.x.term").alias("first_term"), F.col("p.y.term").alias("second_term"),
+    ).distinct()
+
+
 def postings(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """The positional inverted index of the given terms, stored: (term, doc, content, place)."""
     tokens = rows.select("doc", "content", F.posexplode(item_words(F.col("body"))).alias("place", "term"))
     return stored(tokens.join(F.broadcast(terms), "term").select("term", "doc", "content", "place"), "postings")
 
 
-def alignments(index: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(doc, content, text, base): where the rarest and next rarest term of a window stand at their distance."""
+def alignments(index: DataFrame, chosen: DataFrame, slop: int = 0) -> DataFrame:
+    """(doc, content, text, base): where the two terms of a window stand at their distance, or up to `slop` words
+    more or less; base is where the first one puts the text."""
     pairs = F.broadcast(chosen.withColumn("pair", F.xxhash64("text", "first", "second")))  # bounded by the block
     rare = index.join(pairs, F.col("term") == F.col("first_term")).select(
         "doc", "content", "text", "pair", (F.col("place") - F.col("first")).alias("base")
@@ -91,6 +113,8 @@ def alignments(index: DataFrame, chosen: DataFrame) -> DataFrame:
     other = index.join(pairs, F.col("term") == F.col("second_term")).select(
         F.col("doc").alias("d"), F.col("content").alias("c"), F.col("pair").alias("p"), (F.col("place") - F.col("second")).alias("b")
     )
+    if slop:
+        other = other.withColumn("b", F.explode(F.sequence(F.col("b") - slop, F.col("b") + slop)))
     same = F.col("doc").eqNullSafe(F.col("d")) & (F.col("content") == F.col("c")) & (F.col("pair") == F.col("p")) & (F.col("base") == F.col("b"))
     return rare.join(other, same, "left_semi").select("doc", "content", "text", "base").distinct()
 
@@ -197,6 +221,47 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ).withColumn("contaminated", (F.col("n_hit") > 0) & (words_per_hit * F.col("n_hit") >= F.col("n_words")))
 
 
+def find_near(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+              item_text_col: str = "text", window: int = 13, slop: int = 3, least_share: float = 0.8,
+              block: int = 500_000) -> tuple[DataFrame, DataFrame]:
+    """(near, owners): alignments as of proximity_hits, stored, and whose texts they are of."""
+    texts, owners = test_texts(benchmark, item_col, item_text_col)
+    texts, owners = stored(texts, "near-texts"), stored(owners, "near-owners")
+    rows = keyed(docs, id_col, text_col)
+    near = None
+    for part in blocks_of(texts, window, block):
+        terms = part.select(F.explode("words").alias("term")).distinct()
+        chosen = stored(near_anchors(part, term_counts(rows, terms), window), "near-anchors")
+        wanted = chosen.select(F.explode(F.array("first_term", "second_term")).alias("term")).distinct()
+        places = stored(alignments(postings(rows, wanted), chosen, slop), "near-alignments")
+        found = proximity_hits(rows, places, part, slop, least_share)
+        near = found if near is None else near.union(found)
+    return stored(near, "near-hits"), owners
+
+
+def near_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+               item_text_col: str = "text", window: int = 13, slop: int = 3, least_share: float = 0.8, block: int = 500_000) -> DataFrame:
+    """{doc: all columns, near: sorted ids of the items near in it as strings, share: the highest or null}."""
+    hits, owners = find_near(docs, benchmark, id_col, text_col, item_col, item_text_col, window, slop, least_share, block)
+    best = hits.groupBy("doc", "content", "text").agg(F.max("share").alias("share")).join(owners, "text")
+    found = best.groupBy(F.col("doc").alias("d"), F.col("content").alias("c")).agg(
+        F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("near"), F.max("share").alias("share")
+    )
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{id_col}`").alias("own"),
+        F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("content"),
+    )
+    met = rows.join(stored(found, "near-items"), F.col("own").eqNullSafe(F.col("d")) & (F.col("content") == F.col("c")), "left")
+    return met.select("doc", F.coalesce("near", F.array().cast("array<string>")).alias("near"), "share")
+
+
+def near_query(spark, sf_dir: str) -> DataFrame:
+    result = near_items(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return result.select(
+        "doc.doc_id", F.size("near").cast("long").alias("n_near"), F.sha2(F.array_join("near", ",").cast("binary"), 256).alias("near_sha256"), "share",
+    )
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     result = decontaminate(docs.select("doc_id", "text"), benchmark)

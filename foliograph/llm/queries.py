@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_counts": token_counts.query,
     "op9_warc": warc.query,
     "op10_decontaminate": decontaminate.query,
+    "op10_proximity": decontaminate.near_query,
 }
 ORACLES = {
     "op3_line_dedup": line_dedup.ORACLE,

@@ -62,6 +62,23 @@ def test_proximity(spark):
     assert near == {1: 1.0}
 
 
+def test_near_items(spark):
+    item = "the cat of my aunt sat under a small red table today"
+    texts = [
+        item.replace("cat of", "cat oddly of"), item.replace("aunt", "uncle"), item.replace("red", "unheardof"), f"then {item} too",
+        "the cat and my aunt never met", "today table red small a under sat", None, "uncle oddly",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, item.replace("small", "absentword")), (3, "absentword"), (4, None)], "item_id long, text string")
+    for block in (500_000, 5):
+        got = {r.doc_id: r.near for r in dc.near_items(docs, bench, block=block).select("doc.doc_id", "near").collect()}
+        assert got == {i: ["1", "2"] if i < 4 else [] for i in range(len(texts))}
+    assert dc.near_items(docs.limit(0), bench).count() == 0
+    assert {len(r.near) for r in dc.near_items(docs, bench.limit(0)).collect()} == {0}
+    plan = dc.near_query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "some words")], "item_id long, text string")
