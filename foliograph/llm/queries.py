@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from foliograph.llm import bpe, decontaminate, fingerprints, jaccard, line_dedup, quality, substrings, token_counts, toxicity, warc
+from foliograph.llm import (
+    bpe, decontaminate, fingerprints, hard_negatives, jaccard, line_dedup, periodic_runs, quality, substrings, token_counts,
+    toxicity, warc,
+)
 
 QUERIES = {
     "op1_fingerprints": fingerprints.query,
@@ -16,9 +19,12 @@ QUERIES = {
     "op9_warc": warc.query,
     "op10_decontaminate": decontaminate.query,
     "op10_proximity": decontaminate.near_query,
+    "op11_periodic_runs": periodic_runs.query,
+    "op13_hard_negatives": hard_negatives.query,
 }
 ORACLES = {
     "op3_line_dedup": line_dedup.ORACLE,
     "op9_warc": warc.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
 }

@@ -10,7 +10,7 @@ import duckdb
 
 from tests.compare import _rows
 
-NAMES = ("documents", "pages", "benchmark", "labels", "conversations")
+NAMES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
