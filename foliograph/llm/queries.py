@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from foliograph.llm import (
-    bpe, decontaminate, fingerprints, hard_negatives, jaccard, line_dedup, periodic_runs, quality, substrings, token_counts,
+    bpe, decontaminate, fingerprints, hard_negatives, jaccard, licenses, line_dedup, periodic_runs, quality, substrings, token_counts,
     toxicity, warc,
 )
 
@@ -20,11 +20,13 @@ QUERIES = {
     "op10_decontaminate": decontaminate.query,
     "op10_proximity": decontaminate.near_query,
     "op11_periodic_runs": periodic_runs.query,
+    "op12_licenses": licenses.query,
     "op13_hard_negatives": hard_negatives.query,
 }
 ORACLES = {
     "op3_line_dedup": line_dedup.ORACLE,
     "op9_warc": warc.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
+    "op12_licenses": licenses.query,
     "op13_hard_negatives": hard_negatives.ORACLE,
 }
