@@ -88,11 +88,12 @@ def ranked(scores: DataFrame, k: int) -> DataFrame:
     return top_k(scores, ["query_id"], order, k)
 
 
-def per_term_best(queries: DataFrame, docs: DataFrame, stemmed: bool = False) -> DataFrame:
-    """Fallback ranking: every term searched on its own, best score per name, not cut."""
+def per_term_best(queries: DataFrame, docs: DataFrame, stemmed: bool = False, lengths: Sequence[int] = (1,)) -> DataFrame:
+    """Fallback ranking: every term (a phrase of one of the lengths too) searched on its own, best score per name,
+    not cut."""
     each = query_terms(queries, stemmed).withColumn("times", F.lit(1))
     tokens = analysed(docs, ["subdir", "name"], stemmed)
-    hits = matching_postings(tokens, each, ["subdir", "name"])
+    hits = matching_postings(tokens, each, ["subdir", "name"], lengths)
     stats = corpus_stats(tokens)
     avgdl = stats_value(stats)["avgdl"]
     norm = K.BM25_K1 * (1 - K.BM25_B + K.BM25_B * F.col("dl") / avgdl)
