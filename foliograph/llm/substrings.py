@@ -16,7 +16,10 @@ start at anchors whose gram repeats are sorted.
 4. A string with `o` bytes before the anchor equals another if the suffixes share length - o bytes and
    the bytes before share o. Ranks at those depths follow from common-prefix lengths; for each o, all
    but the earliest of equal strings are covered.
-5. Covered stretches of a document are joined and cut out.
+5. A gram with more than `most` kinds of surroundings (a short template, in ever other text) would make one
+   merge grow with the corpus. Its strings are told apart by two hashes of 64 bits each instead, with
+   the earliest as a combined minimum.
+6. Covered stretches of a document are joined and cut out.
 
 Defined cases: a null text is an empty one; a null id counts as the smallest integer; rows that repeat
 an id with the same text are one document (both get its result), with other texts they are documents
@@ -33,14 +36,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import partitions, slices, stored, table
+from foliograph.llm.common import packed, partitions, slices, stored, table, unpacked
 
 LENGTH, GRAM = 100, 24
 FACTOR = 0x9E3779B97F4A7C15 | 1
 GAP = b"\xff"  # never part of UTF-8: stands for what lies outside a text
 SEGMENT = 1 << 21
+MOST_KINDS = 8192  # kinds of surroundings of a gram that one merge takes
 _BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
+FACTOR_2 = 0xC2B2AE3D27D4EB4F | 1
+_BYTES_2 = np.random.default_rng(20240230).integers(1, 1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
 
 def _power(n: int) -> np.uint64:
     return np.uint64(pow(FACTOR, n, 1 << 64))
@@ -224,7 +231,9 @@ _MARK_SCHEMA = pa.schema([("later", pa.bool_()), ("doc", pa.int64()), ("variant"
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From anchors sorted by (gram, around, doc, variant, place): those that are later of their kind, and
     the first of each kind of grams with several kinds."""
-    last, held = None, []  # the last row, and the first ones of its gram so far
+    last = None  # the last row
+    pending = np.zeros((5, 0), np.int64)  # the first of a gram that has no second yet
+    going_on = None  # a gram of several kinds that may go on
 
     for batch in batches:
         rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("gram", "around", "doc", "variant", "place")])
@@ -234,26 +243,17 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same = np.cumprod(rows == prior, axis=0).astype(bool)  # equal up to each column
         if last is None:
             same[:, 0] = False
-        later = same[1] & ~same[4]
+        later = rows[:, same[1] & ~same[4]]
         last = rows[:, -1:]
-        out = [rows[:, later]]
-        flags = [np.ones(out[0].shape[1], bool)]
-        firsts = rows[:, ~same[1]]
-        if held:
-            firsts = np.concatenate([*held, firsts], axis=1)
-        # The last gram may go on in the next batch.
-        others = np.flatnonzero(firsts[0] != last[0, 0])
-        open_from = int(others[-1]) + 1 if len(others) else 0
-        held = [firsts[:, open_from:]]
-        closed = firsts[:, :open_from]
-        several = _several(closed[0])
-        out.append(closed[:, several])
-        flags.append(np.zeros(int(several.sum()), bool))
-        yield _mark_batch(np.concatenate(out, axis=1), np.concatenate(flags))
-    if held:
-        closed = np.concatenate(held, axis=1)
-        several = _several(closed[0])
-        yield _mark_batch(closed[:, several], np.zeros(int(several.sum()), bool))
+        firsts = np.concatenate([pending, rows[:, ~same[1]]], axis=1)
+        several = _several(firsts[0])
+        if going_on is not None:
+            several |= firsts[0] == going_on
+        if firsts.shape[1]:
+            pending, going_on = (firsts[:, :0], int(firsts[0, -1])) if several[-1] else (firsts[:, -1:], None)
+        firsts = firsts[:, several]
+        flags = np.repeat([True, False], [later.shape[1], firsts.shape[1]])
+        yield _mark_batch(np.concatenate([later, firsts], axis=1), flags)
 
 
 def _several(grams: np.ndarray) -> np.ndarray:
@@ -273,11 +273,9 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     own = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63)))
     body = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     repeats = docs.select(own.alias("doc")).groupBy("doc").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
-    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    return docs.select(
-        F.struct(*others, F.lit(0).alias("_")).alias("row"), own.alias("doc"),
-        (F.xxhash64(body) if repeats else F.lit(0).cast("long")).alias("variant"), body.alias("body"),
-    )
+    variant = F.xxhash64(body) if repeats else F.lit(0).cast("long")
+    kept = packed(docs, text_col, own.alias("_id"), variant.alias("variant"), body.alias("body"))
+    return kept.select(F.col("doc").alias("row"), F.col("_id").alias("doc"), "variant", "body")
 
 
 def _packed(rows: DataFrame) -> DataFrame:
@@ -296,7 +294,7 @@ def _packed(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(pack, schema)
 
 
-def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, most: int = MOST_KINDS) -> tuple[DataFrame, DataFrame]:
     """(rows of _keyed, covered stretches (doc, variant, start, end) in bytes; they may pass a text's ends)."""
     rows = _keyed(docs, id_col, text_col)
     before = length - GRAM
@@ -315,7 +313,10 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     ordered = found.repartition("gram").sortWithinPartitions("gram", "around", "doc", "variant", "place")
     marks = stored(ordered.mapInArrow(_marked, _MARKS), "substring-marks")
     whole = marks.filter("later").select("doc", "variant", (F.col("place") - before).alias("start"), (F.col("place") + length).alias("end"))
-    return rows, whole.union(_merged(rows, marks.filter("not later"), length))
+    firsts = marks.filter("not later")
+    hot = stored(firsts.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") > most).select("gram"), "substring-hot")
+    covered = whole.union(_merged(rows, firsts.join(hot, "gram", "left_anti").select(*firsts.columns), length))
+    return rows, covered.union(_equal_windows(rows, firsts.join(hot, "gram", "left_semi").select(*firsts.columns), length))
 
 
 def _merged(rows: DataFrame, firsts: DataFrame, length: int) -> DataFrame:
@@ -388,10 +389,57 @@ def _merged(rows: DataFrame, firsts: DataFrame, length: int) -> DataFrame:
     return exchanged.groupBy("part").applyInArrow(merged, "doc long, variant long, start int, end int")
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def window_hashes(raw: bytes, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of the strings of `length` bytes at starts."""
+    data, out = np.frombuffer(raw, np.uint8), []
+    for values, factor in ((_BYTES, FACTOR), (_BYTES_2, FACTOR_2)):
+        inverse = np.full(len(data) + 1, pow(factor, -1, 1 << 64), np.uint64)
+        inverse[0] = 1
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values[data] * np.cumprod(inverse)[:-1], dtype=np.uint64)])
+        powers = np.full(len(data) + 1, factor, np.uint64)
+        powers[0] = 1
+        out.append((sums[starts + length] - sums[starts]) * np.cumprod(powers)[starts])
+    return out[0], out[1]
+
+
+def _equal_windows(rows: DataFrame, firsts: DataFrame, length: int) -> DataFrame:
+    """Covered stretches around the anchors of grams with very many kinds of surroundings: one row for each string
+    with such an anchor, of which all but the earliest of equal ones are covered. A minimum combines before the
+    shuffle, so no group is gathered, however many strings are equal or share a gram."""
+    wanted = firsts.groupBy("doc", "variant").agg(F.collect_list("place").alias("places"))
+    held = _packed(rows.select("doc", "variant", "body")).join(wanted, ["doc", "variant"]).select("doc", "variant", "packed", "places")
+    before = np.arange(length - GRAM + 1)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor()
+        for batch in slices(batches, 64):
+            found = [[np.zeros(0, np.int64)] for _ in range(5)]
+            for doc, variant, packed, places in zip(*(batch.column(c) for c in ("doc", "variant", "packed", "places")), strict=True):
+                text = unpack.decompress(packed.as_py())
+                starts = np.unique(places.values.to_numpy().astype(np.int64)[:, None] - before)
+                starts = starts[(starts >= 0) & (starts + length <= len(text))]
+                own = [np.full(len(starts), x.as_py(), np.int64) for x in (doc, variant)]
+                hashes = [h.view(np.int64) for h in window_hashes(text, starts, length)]
+                for column, values in zip(found, (*hashes, *own, starts), strict=True):
+                    column.append(values)
+            columns = [np.concatenate(c) for c in found]
+            columns[4] = columns[4].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h1", "h2", "doc", "variant", "start"])
+
+    strings = stored(held.mapInArrow(hashed, "h1 long, h2 long, doc long, variant long, start int"), "substring-strings")
+    place = F.struct("doc", "variant", "start")
+    first = strings.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    later = strings.join(first, ["h1", "h2"]).filter(place != F.col("first"))
+    return later.select("doc", "variant", "start", (F.col("start") + length).alias("end"))
+
+
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
+                     most: int = MOST_KINDS) -> DataFrame:
     """{doc: all columns but the text, n_bytes, kept: binary, spans: array<struct<start,end>>}: the bytes left, and
     the maximal removed runs."""
-    rows, covered = repeated(docs, id_col, text_col, length)
+    rows, covered = repeated(docs, id_col, text_col, length, most)
     spans = covered.groupBy("doc", "variant").agg(F.collect_list(F.struct("start", "end")).alias("covered"))
     met = _packed(rows).join(spans, ["doc", "variant"], "left").select("row", "packed", "covered")
     out = met.select("row").withColumns({
@@ -422,7 +470,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 names=["row", "n_bytes", "kept", "spans"],
             )
 
-    return met.mapInArrow(cut, out).withColumnRenamed("row", "doc")
+    return unpacked(met.mapInArrow(cut, out).withColumnRenamed("row", "doc"))
 
 
 def _joined(covered: pa.StructArray, size: int) -> list[tuple[int, int]]:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from foliograph.llm import substrings as ss
+from foliograph.llm.common import F
 
 
 def brute(docs, length):
@@ -63,13 +64,13 @@ def corpus(seed, n, length):
     return texts
 
 
-@pytest.mark.parametrize("segment", [1 << 21, 700])
-def test_against_brute_force(spark, monkeypatch, segment):
+@pytest.mark.parametrize(("segment", "most"), [(1 << 21, 8192), (700, 4), (1 << 21, 0)])
+def test_against_brute_force(spark, monkeypatch, segment, most):
     monkeypatch.setattr(ss, "SEGMENT", segment)
     texts = corpus(5, 40, 100)
     rows = [(i * 3 % 47, t, "own") for i, t in enumerate(texts)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, place string")
-    got = ss.dedup_substrings(docs).select("doc.doc_id", "doc.place", "n_bytes", "kept", "spans").collect()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _ string")
+    got = ss.dedup_substrings(docs, most=most).select("doc.doc_id", F.col("doc._").alias("place"), "n_bytes", "kept", "spans").collect()
     want = brute([(i, t, 0) for i, t, _ in rows], 100)
     by_id = {i: (t or "", want[i, t, 0]) for i, t, _ in rows}
     assert sum(len(r) for r in want.values()) > 20
@@ -102,6 +103,24 @@ def expected(spark, rows):
         yield r.doc_id, (left + raw[at:]).decode()
 
 
+def test_marks_in_any_batches():
+    """What is marked does not depend on where batches end."""
+    rng = random.Random(8)
+    rows = sorted((rng.randint(0, 9), rng.randint(0, 2), rng.randint(0, 5), 0, i) for i in range(60))
+    names = ("gram", "around", "doc", "variant", "place")
+    results = set()
+    for size in (1, 2, 7, 60):
+        batches = [ss.pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows[i:i + size]]) for i in range(0, 60, size)]
+        results.add(tuple(sorted(map(str, (r for b in ss._marked(iter(batches)) for r in b.to_pylist())))))
+    kinds = {}
+    for g, a, *_ in rows:
+        kinds.setdefault(g, set()).add(a)
+    first = [r for i, r in enumerate(rows) if i == 0 or r[:2] != rows[i - 1][:2]]
+    (only,) = results
+    assert sum("'later': False" in r for r in only) == sum(len(kinds[r[0]]) > 1 for r in first)
+    assert sum("'later': True" in r for r in only) == 60 - len(first)
+
+
 def test_empty_table(spark):
     assert ss.dedup_substrings(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
