@@ -16,7 +16,8 @@ single sums. Hosts and paths are tables; they are joined by key.
 Defined cases: a null text is an empty one; null hosts and paths are groups of their own; a label
 that is null or neither 0 nor 1 counts as none; without labels of both kinds the evidence is 0 and
 the global rate 1/2 (or that of the only kind, smoothed); repeated rows each count; several labels
-of one id count with their mean; other columns come back unchanged in `doc`.
+of one id count with their mean; other columns but the text come back unchanged in `doc`, and `digest`
+tells the rows of one id apart.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import sampled, space_words, stored, table
+from foliograph.llm.common import packed, sampled, space_words, stored, table, unpacked
 
 BINS = 24
 FEATURES = ("capitals", "symbols", "wordless", "distinct", "word_length", "line_length")
@@ -119,30 +120,30 @@ def classify(
     host_col: str = "source", path_col: str = "lang", label_col: str = "quality", prior_rows: float = 5.0,
     threshold: float = 0.5, most_labels: int = 200_000,
 ) -> DataFrame:
-    """{doc: all columns, evidence, host_rate, path_rate, score, keep}. learn: which rows of labels are learnt
+    """{doc: all columns but the text, digest, evidence, host_rate, path_rate, score, keep}, of row_digest(). learn: which rows of labels are learnt
     from (a condition on them). If there are more, the weights of the bins are fitted to about `most_labels` of
     them; hosts and paths count every label. score is the probability of label 1, and keep is score >= threshold."""
     used = labels.filter(learn) if learn is not None else labels
     known = used.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.avg(F.col(label_col).cast("double")).alias("_good"))
     known = stored(known, "quality-labels")
-    fits = F.col("_good").isNotNull() & sampled(F.col("_id"), known.count(), most_labels)
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
-        F.col(f"`{id_col}`").alias("_id"), F.col(f"`{host_col}`").cast("string").alias("host"),
-        F.col(f"`{path_col}`").cast("string").alias("path"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_body"),
+    body = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    host, path = F.col(f"`{host_col}`").cast("string"), F.col(f"`{path_col}`").cast("string")
+    rows = packed(
+        docs, text_col, F.col(f"`{id_col}`").alias("_id"), host.alias("host"), path.alias("path"), body.alias("_body"),
+        row_digest(F.col(f"`{id_col}`"), body, host, path).alias("digest"),
     )
-    binned = with_bins(rows, F.col("_body")).drop("_body")
-    narrow = stored(binned.drop("doc").join(known, "_id", "left"), "quality-bins")
+    # The only pass over texts: what follows joins rows without them.
+    narrow = stored(with_bins(rows, F.col("_body")).drop("_body"), "quality-bins")
+    narrow = stored(narrow.join(known, "_id", "left"), "quality-labelled")
+    fits = F.col("_good").isNotNull() & sampled(F.col("_id"), known.count(), most_labels)
     weights = bin_weights(narrow.filter(fits).select("bins", F.col("_good").alias("good")), prior_rows)
 
-    def evidence() -> Column:
-        terms = [F.get(F.array(*[F.lit(w) for w in weights[i]]), F.get("bins", F.lit(i))) for i in range(len(FEATURES))]
-        return sum(terms, F.lit(0.0))
-
     first = narrow.agg(F.sum("_good").alias("good"), F.count("_good").alias("n")).first()
     rate = ((first.good or 0.0) + 0.5) / (first.n + 1.0)
-    guess = F.coalesce(F.col("_good"), _sigmoid(evidence() + _logit(F.lit(rate))))
-    paths = narrow.groupBy("host", "path").agg(F.sum(guess).alias("path_good"), F.count(F.lit(1)).alias("path_n"))
+    terms = [F.get(F.array(*[F.lit(w) for w in weights[i]]), F.get("bins", F.lit(i))) for i in range(len(FEATURES))]
+    judged = narrow.withColumn("evidence", sum(terms, F.lit(0.0)))
+    judged = judged.withColumn("own", F.coalesce("_good", _sigmoid(F.col("evidence") + _logit(F.lit(rate)))))
+    paths = judged.groupBy("host", "path").agg(F.sum("own").alias("path_good"), F.count(F.lit(1)).alias("path_n"))
     paths = stored(paths, "quality-paths")
     hosts = paths.groupBy("host").agg(F.sum("path_good").alias("host_good"), F.sum("path_n").alias("host_n"))
     over_hosts = _strength(hosts, "host_good", "host_n", rate)
@@ -150,21 +151,39 @@ def classify(
     shrunk = both.withColumn("level", (F.col("host_good") + over_hosts * rate) / (F.col("host_n") + over_hosts))
     over_paths = _strength(shrunk, "path_good", "path_n", F.col("level"))
     both = both.select(F.col("host").alias("h"), F.col("path").alias("p"), "path_good", "path_n", "host_good", "host_n")
-    # Labels are known for learning only; a document's own guess is what is taken out of its priors.
-    labelled = binned.join(known, "_id", "left").withColumn("evidence", evidence())
-    placed = labelled.withColumn("own", F.coalesce("_good", _sigmoid(F.col("evidence") + _logit(F.lit(rate))))).join(
-        both, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p"))
-    )
+    placed = judged.join(both, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")))
+    # A document's own share is taken out of its priors.
     host_rate = (F.col("host_good") - F.col("own") + over_hosts * rate) / (F.col("host_n") - 1 + over_hosts)
     placed = placed.withColumn("host_rate", F.least(F.greatest(host_rate, F.lit(1e-6)), F.lit(1 - 1e-6)))
     path_rate = (F.col("path_good") - F.col("own") + over_paths * F.col("host_rate")) / (F.col("path_n") - 1 + over_paths)
     placed = placed.withColumn("path_rate", F.least(F.greatest(path_rate, F.lit(1e-6)), F.lit(1 - 1e-6)))
     score = _sigmoid(F.col("evidence") + _logit(F.col("path_rate")))
-    return placed.select("doc", "evidence", "host_rate", "path_rate", score.alias("score")).withColumn(
+    return unpacked(placed.select("doc", "digest", "evidence", "host_rate", "path_rate", score.alias("score"))).withColumn(
         "keep", F.col("score") >= threshold
     )
 
 
+def row_digest(row_id: Column, body: Column, host: Column, path: Column) -> Column:
+    """What tells a row's judgement apart from that of other rows with its id."""
+    return F.xxhash64(row_id, body, host, path)
+
+
+def kept(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
+    path_col: str = "lang", **options,
+) -> DataFrame:
+    """The rows of docs that classify() keeps. Texts move only if the rejected rows are too many to broadcast."""
+    judged = classify(docs, labels, id_col=id_col, text_col=text_col, host_col=host_col, path_col=path_col, **options)
+    gone = stored(judged.filter(~F.col("keep")).select("digest", F.col(f"doc.`{id_col}`").alias("gone")).distinct(), "quality-rejected")
+    columns = [F.col(f"docs.`{c}`") for c in docs.columns]
+    key = row_digest(
+        F.col(f"docs.`{id_col}`"), F.coalesce(F.col(f"docs.`{text_col}`"), F.lit("")),
+        F.col(f"docs.`{host_col}`").cast("string"), F.col(f"docs.`{path_col}`").cast("string"),
+    )
+    met = (key == F.col("gone.digest")) & F.col(f"docs.`{id_col}`").eqNullSafe(F.col("gone.gone"))
+    return docs.alias("docs").join(gone.alias("gone"), met, "left_anti").select(*columns)
+
+
 def learnt(id_col: str = "doc_id") -> Column:
     """Three quarters of the labels; the rest is held out to measure accuracy."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 != 2

@@ -88,3 +88,22 @@ def test_stages_keep_columns_and_odd_rows(spark, folder):
             assert result.columns == docs.columns
             result.collect()
         assert corpus_pipeline.tokens(spark, rows, path).count() == rows.count()
+
+
+def test_rows_of_one_id_are_documents(spark):
+    rng = random.Random(4)
+    a, b, c = prose(rng, 60), prose(rng, 60), prose(rng, 60)
+    rows = [(5, a), (5, b), (5, b), (7, a), (3, c), (3, None), (3, None), (None, a), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", {"k": "v"}) for i, t in rows], "doc_id long, text string, lang string, source string, row map<string,string>")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").select("doc_id", "text").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(5, a), (5, b), (3, c), (3, None), (3, None), (None, a), (None, a)]))
+
+
+def test_rows_of_one_id_are_judged_apart(spark, folder):
+    path, texts, _ = folder
+    bad = next(t for t in texts if t and "!!" in t)
+    docs = spark.createDataFrame([(9001, texts[0], "en", "src1", 1), (9001, bad, "en", "src1", 1), (None, texts[1], None, None, 1), (None, bad, None, None, 1)],
+                                 spark.read.parquet(f"{path}/documents.parquet").schema)
+    more = spark.read.parquet(f"{path}/documents.parquet").union(docs)
+    got = [r.text for r in corpus_pipeline.quality(spark, more, path).filter("doc_id IS NULL OR doc_id = 9001").collect()]
+    assert sorted(got) == sorted([texts[0], texts[1]])
