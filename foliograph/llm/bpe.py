@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliograph.llm.common import slices, table
+from foliograph.llm.common import packed, slices, table, unpacked
 
 # Fixed values of the vocabulary: its split pattern, and its special string with the id.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -210,11 +210,10 @@ def encode(
     docs: DataFrame, text_col: str = "text", ranks_path: str | None = None, chunk: int = 32768
 ) -> DataFrame:
     """docs as {doc: all columns but the text, ids: array<int>}. A null text is an empty one and has no
-    ids; rows that repeat come back as often; an empty table gives an empty table."""
+    ids; rows that repeat come back as often; an empty table gives an empty table; no name of a column
+    can clash, and without other columns doc is null."""
     ranks_path = ranks_path or default_ranks()
-    others = [c for c in docs.columns if c != text_col]
-    body = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others], F.lit(0).alias("_")).alias("doc"), body.alias("body"))
+    rows = packed(docs, text_col, F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("body"))
     doc_type = rows.schema["doc"].dataType
     out = T.StructType([T.StructField("doc", doc_type), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
@@ -229,8 +228,7 @@ def encode(
             yield _with(batch, "body", "ids", _list_array(found))
 
     encoded = rows.filter(F.char_length("body") <= chunk).mapInArrow(short, out)
-    encoded = encoded.union(_encode_long(rows.filter(F.char_length("body") > chunk), out, ranks_path, chunk))
-    return encoded.withColumn("doc", F.col("doc").dropFields("_")) if others else encoded
+    return unpacked(encoded.union(_encode_long(rows.filter(F.char_length("body") > chunk), out, ranks_path, chunk)))
 
 
 def _encode_long(rows: DataFrame, out: T.StructType, ranks_path: str, chunk: int) -> DataFrame:

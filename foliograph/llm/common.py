@@ -64,10 +64,10 @@ def slices(batches, rows: int = 1024):
         pa.default_memory_pool().release_unused()
 
 
-def packed(docs: DataFrame, drop: str | None, *columns: Column) -> DataFrame:
+def packed(docs: DataFrame, drop: str | tuple[str | None, ...] | None, *columns: Column) -> DataFrame:
     """{doc: all columns but `drop`, and the given ones}. The row lies inside another struct, so no column
     name can clash and no column is needed; unpacked() takes it out again."""
-    names = [c for c in docs.columns if c != drop]
+    names = [c for c in docs.columns if c not in (drop if isinstance(drop, tuple) else (drop,))]
     row = F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.lit(None).cast("int")
     return docs.select(F.struct(row.alias("row"), F.lit(0).alias("filled")).alias("doc"), *columns)
 

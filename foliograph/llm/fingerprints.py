@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import ascii_lower, partitions, space_words, table
+from foliograph.llm.common import ascii_lower, packed, partitions, space_words, table, unpacked
 
 WORDS = 5
 SHARE = 1 / 16
@@ -36,7 +36,7 @@ def shingle_hashes(words: Column, size: int = WORDS) -> Column:
     each = F.transform(
         F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(size)])
     )
-    whole = F.array(F.xxhash64(F.concat_ws("\x1f", words)))
+    whole = F.array(F.xxhash64(words))  # of the array: words may hold any separator
     none = F.array().cast("array<bigint>")
     return F.array_distinct(F.when(n >= size, each).when(n > 0, whole).otherwise(none))
 
@@ -147,9 +147,8 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     document by descending id) and their fingerprints: {doc, n_chars, edited, sketch, edited_sketch,
     next_sketch}."""
     buckets = buckets or min(4 * partitions(docs.sparkSession), 1000)
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.lit(0).alias("_")).alias("doc"),
-        F.col(f"`{id_col}`").alias("own_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("body"),
+    rows = packed(
+        docs, text_col, F.col(f"`{id_col}`").alias("own_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("body"),
     )
     met = with_next(
         rows, ["body", "sketch"], "own_id", "body", lambda df: with_sketch(df, "body", "sketch", share, least), buckets
@@ -158,7 +157,7 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.left(F.col("body"), n - cut), F.left(F.col("next_body"), cut))
     both = met.select("doc", n.cast("long").alias("n_chars"), edited.alias("edited"), "sketch", "next_sketch")
-    return with_sketch(both, "edited", "edited_sketch", share, least)
+    return unpacked(with_sketch(both, "edited", "edited_sketch", share, least))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

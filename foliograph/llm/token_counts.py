@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliograph.llm import bpe
-from foliograph.llm.common import slices, table
+from foliograph.llm.common import packed, slices, table, unpacked
 
 RULES = ("start", "end", "share")
 
@@ -98,11 +98,9 @@ def count_tokens(
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
     ranks_path = ranks_path or bpe.default_ranks()
-    others = [c for c in docs.columns if c not in (text_col, spans_col)]
     spans = F.col(f"`{spans_col}`") if spans_col else F.lit(None)
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in others], F.lit(0).alias("_")).alias("doc"),
-        F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("body"),
+    rows = packed(
+        docs, (text_col, spans_col), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("body"),
         spans.cast("array<struct<start:int,end:int>>").alias("spans"),
     )
     part = T.ArrayType(T.StructType([
@@ -137,7 +135,7 @@ def count_tokens(
             parts_column = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), struct)
             yield pa.RecordBatch.from_arrays([batch.column("doc"), parts_column], names=["doc", "parts"])
 
-    return rows.mapInArrow(counted, out).select("doc", F.inline("parts"))
+    return unpacked(rows.mapInArrow(counted, out)).select("doc", F.inline("parts"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

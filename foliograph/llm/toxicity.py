@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliograph.llm.common import bounded_labels, slices, table
+from foliograph.llm.common import bounded_labels, packed, slices, table, unpacked
 
 DEPTH, WIDTH = 2, 1 << 20
 PREFIXES = (4, 5, 6)
@@ -291,14 +291,10 @@ def _passage_fields() -> list[T.StructField]:
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """{doc: all columns but the text, passages, evidence, score, predicted}; passages count tokens from 0."""
-    others = [c for c in docs.columns if c != text_col]
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in others], F.lit(0).alias("_")).alias("doc"),
-        F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("body"),
-    )
+    rows = packed(docs, text_col, F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("body"))
     handle = docs.sparkSession.sparkContext.broadcast(model)
     out = T.StructType([rows.schema["doc"], *_passage_fields()])
-    scored = rows.mapInArrow(_scored(handle, "body", ["doc"], out), out)
+    scored = unpacked(rows.mapInArrow(_scored(handle, "body", ["doc"], out), out))
     probability = 1 / (1 + F.exp(-(F.lit(model.curve[0]) + F.lit(model.curve[1]) * F.log1p("evidence"))))
     return scored.withColumn("score", probability).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 

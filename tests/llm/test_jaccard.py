@@ -115,3 +115,10 @@ def test_all_links(spark, monkeypatch):
         monkeypatch.setattr(jaccard, "BLOCK", block)
         assert sorted((str(r.doc), r.n, r.links) for r in jaccard.join_counts(docs).collect()) == want
         assert sorted(tuple(r) for r in jaccard.join_components(docs)[1].collect()) == different
+
+
+def test_words_may_hold_any_separator(spark):
+    """One word with a control character inside is not two words."""
+    docs = spark.createDataFrame([(1, "a\x1fb"), (2, "a b"), (3, "a\x1fb "), (4, "a\x00b")], "doc_id long, text string")
+    rows, _ = jaccard.join_components(docs)
+    assert sorted((r.doc, r.component) for r in rows.collect()) == [(1, 1), (2, 2), (3, 1), (4, 4)]
