@@ -14,17 +14,18 @@ from foliograph.llm.common import stored, table
 from foliograph.llm.decontaminate import decontaminate
 from foliograph.llm.jaccard import join_components
 from foliograph.llm.line_dedup import dedup_lines
-from foliograph.llm.quality import classify
+from foliograph.llm.quality import kept
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; it learns from all labels."""
-    judged = classify(docs, table(spark, sf_dir, "labels"))
-    return judged.filter("keep").select("doc.*")
+    """Documents that the classifier rejects go; it learns from all labels. Null and empty texts are judged like
+    others, by their host and path."""
+    return kept(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shared lines go; n_chars is counted anew."""
+    """Shared lines go; n_chars is counted anew. Null and empty texts are one empty line, which stays (as an
+    empty text)."""
     kept = dedup_lines(docs)
     changed = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")}
     return kept.select(*[changed.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
@@ -32,30 +33,35 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that with the smallest id. Documents without an id, or without
-    words, are in no group; rows that repeat an id are one document, of which the least row stays."""
-    rows, _ = join_components(docs.select("doc_id", "text"))
-    gone = stored(rows.filter("doc <> component").select(F.col("doc").alias("doc_id")).distinct(), "near-duplicates")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    if not _repeats(kept):
-        return kept
-    # The least row of an id, by the order of its columns.
-    once = kept.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct(*kept.columns)).alias("row")).select("row.*")
-    return kept.filter("doc_id IS NULL").union(once)
+    words, are in no group; rows that repeat an id are documents of their own (of equal ones in a group
+    one stays)."""
+    given = docs.filter("doc_id IS NOT NULL")
+    if not _repeats(given):
+        rows, _ = join_components(given.select("doc_id", "text"))
+        gone = stored(rows.filter("doc <> component").select(F.col("doc").alias("doc_id")), "near-duplicates")
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # Rows get numbers, which are written so that they do not change.
+    number = next(n for n in ("row", *(f"row{i}" for i in range(len(docs.columns) + 1))) if n not in docs.columns)
+    numbered = stored(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    rows, _ = join_components(numbered.filter("doc_id IS NOT NULL").select(number, "text"), number)
+    named = rows.filter("n > 0").join(numbered.select(F.col(number).alias("doc"), "doc_id"), "doc")
+    first = named.groupBy("component").agg(F.min(F.struct("doc_id", "doc")).alias("first"))
+    gone = named.join(first, "component").filter(F.col("doc") != F.col("first.doc")).select(F.col("doc").alias(number))
+    return numbered.join(stored(gone, "near-duplicates"), number, "left_anti").select(*docs.columns)
 
 
 def _repeats(docs: DataFrame) -> bool:
-    counts = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return not counts.filter("n > 1").isEmpty()
+    return not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
+    """Contaminated documents go; those without words stay."""
     judged = decontaminate(docs, table(spark, sf_dir, "benchmark"))
     return judged.filter(~F.col("contaminated")).select("doc.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Number of tokens and digests of ids and decoded text."""
+    """Number of tokens and digests of ids and decoded text, of every row; a null text is an empty one."""
     return bpe.digests(docs)
 
 
