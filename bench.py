@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from foliograph.catalog import QUERIES  # noqa: E402
 from foliograph.catalog.registry import Tables  # noqa: E402
-from foliograph.operators import index, retrieval  # noqa: E402
+from foliograph.operators import segments  # noqa: E402
 from foliograph.session import local_session  # noqa: E402
 
 HEADLINE = (
@@ -35,14 +35,14 @@ HEADLINE = (
 
 
 def stored_index(spark, sf_dir: str) -> dict[str, float]:
-    """Build the index tables of the derived wiki once, then answer a query batch from them."""
+    """Build the segmented index of the derived wiki once, then answer a query batch from it."""
     tables = Tables(spark, sf_dir)
     with tempfile.TemporaryDirectory(prefix="foliograph-index-") as path:
         start = time.perf_counter()
-        where = index.build_index(tables.wiki, path, stemmed=False, phrase_lengths=(1, 2))
+        index = segments.SegmentIndex(spark, path)
+        index.commit(tables.wiki)
         built = time.perf_counter()
-        found = retrieval.search_index(tables.questions, where, stemmed=False)
-        found.write.format("noop").mode("overwrite").save()
+        segments.search(tables.questions, index).write.format("noop").mode("overwrite").save()
         done = time.perf_counter()
     return {"index_build": round(built - start, 3), "indexed_search_25_queries": round(done - built, 3)}
 

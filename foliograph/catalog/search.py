@@ -316,10 +316,9 @@ _WORDS = f"SELECT unnest({S.tokens('text')}) AS word FROM documents"
 
 @query("T3_porter_stem", _porter_sql(_WORDS))
 def _(t):
-    from foliograph.functions.porter import analyze
+    from foliograph.functions.porter import stems
 
-    found = t.documents.select(F.explode(index.plain_tokens(F.col("text"))).alias("word")).distinct()
-    return found.select("word", F.array_join(analyze(F.col("word")), " ").alias("stem"))
+    return stems(t.documents.select(F.explode(index.plain_tokens(F.col("text"))).alias("word")))
 
 
 _STEMMED = dict(_DOC_CTES)

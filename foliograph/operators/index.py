@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from foliograph import constants as K
 from foliograph.functions import pages as P
-from foliograph.functions.porter import analyze
-from foliograph.operators.graph import neighbours, unique_pages
+from foliograph.functions.porter import stems
 from foliograph.operators.grouping import last_row
 
 FIELDS = ("name", "type", "tags", "content")
@@ -21,11 +20,6 @@ def plain_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def analyzer(stemmed: bool):
-    """Column → token array: plain, or accent-folded with Porter stems."""
-    return analyze if stemmed else plain_tokens
-
-
 def searchable(pages: DataFrame) -> DataFrame:
     """The four indexed fields of every page, one row per page file (outer blanks hold no tokens)."""
     return pages.select(
@@ -37,9 +31,17 @@ def searchable(pages: DataFrame) -> DataFrame:
     )
 
 
-def analysed(docs: DataFrame, keys: Sequence[str], stemmed: bool = False) -> DataFrame:
+def restemmed(terms: DataFrame) -> DataFrame:
+    """(term, stem_term) of the distinct terms of a relation: every word of a term by its stem."""
+    each = terms.select("term").distinct().select("term", F.posexplode(F.split("term", " ")).alias("i", "word"))
+    parts = F.sort_array(F.collect_list(F.struct("i", "stem")))
+    joined = each.join(stems(each), "word").groupBy("term").agg(parts.alias("parts"))
+    return joined.select("term", F.array_join(F.transform("parts", lambda p: p["stem"]), " ").alias("stem_term"))
+
+
+def analysed(docs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Token arrays per field plus the document length; one narrow pass over the text."""
-    tokens = analyzer(stemmed)
+    tokens = plain_tokens
     out = docs.select(*keys, *[tokens(F.coalesce(F.col(f), F.lit(""))).alias(f"t_{f}") for f in FIELDS])
     return out.withColumn("dl", sum((F.size(f"t_{f}") for f in FIELDS), F.lit(0)))
 
@@ -91,37 +93,3 @@ def raw_file_index(pages: DataFrame) -> DataFrame:
         P.source_hash(F.col("content")).alias("source_hash"),
     )
     return last_row(rows, ["filename"], F.struct("source_page", "source_hash"))
-
-
-POSTING_BUCKETS = 256
-
-
-def term_bucket(term: Column) -> Column:
-    """Storage bucket of a term."""
-    return F.pmod(F.xxhash64(term), F.lit(POSTING_BUCKETS)).cast("int")
-
-
-def build_index(pages: DataFrame, path: str, stemmed: bool = True, phrase_lengths: Sequence[int] = (1,)) -> dict[str, str]:
-    """Drop and rebuild the index tables under ``path``; returns table name → location.
-
-    ``pages`` keeps one row per name, ``postings`` the weighted terms of every page file in
-    term buckets, ``stats`` the corpus statistics, ``neighbours`` the symmetric link graph and
-    ``source_files`` raw files and source pages. Postings are ranged by bucket, term and page, so
-    a search reads the buckets of its terms only and a very common term spreads over many tasks.
-    """
-    docs = analysed(searchable(pages), ["subdir", "name"], stemmed)
-    unique = unique_pages(pages.select("subdir", "name", "content"))
-    locations = {}
-
-    def store(table: str, df: DataFrame, *partitions: str) -> None:
-        locations[table] = f"{path}/{table}"
-        df.write.mode("overwrite").partitionBy(*partitions).parquet(locations[table])
-
-    store("pages", unique)
-    store("stats", corpus_stats(docs))
-    terms = postings(docs, ["subdir", "name"], phrase_lengths).withColumn("bucket", term_bucket(F.col("term")))
-    ranged = terms.repartitionByRange("bucket", "term", "name").sortWithinPartitions("bucket", "term", "name")
-    store("postings", ranged, "bucket")
-    store("neighbours", neighbours(unique))
-    store("source_files", raw_file_index(pages))
-    return locations

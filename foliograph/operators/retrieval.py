@@ -17,20 +17,23 @@ from foliograph.functions.text import trim_ws
 from foliograph.operators import graph
 from foliograph.operators.grouping import top_k
 from foliograph.session import persist_durably
-from foliograph.operators.index import analysed, analyzer, corpus_stats, postings, searchable, stats_value, term_bucket, term_rows
+from foliograph.functions.porter import stems
+from foliograph.operators.index import analysed, plain_tokens, postings, restemmed, searchable, term_rows
 
 
 def query_terms(queries: DataFrame, stemmed: bool = False) -> DataFrame:
-    """(query_id, term, times): word terms of each query.
+    """(query_id, term, times): word terms of each query, as stems if asked.
 
     A word with underscores is a phrase of adjacent tokens; a repeated word counts again.
     """
     found = queries.select(
         "query_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(K.WORD + "+"), F.lit(0))).alias("word")
     )
-    phrase = F.array_join(analyzer(stemmed)(F.col("word")), " ")
-    terms = found.select("query_id", phrase.alias("term")).filter(F.col("term") != "")
-    return terms.groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    terms = found.select("query_id", F.array_join(plain_tokens(F.col("word")), " ").alias("term")).filter(F.col("term") != "")
+    terms = terms.groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    if not stemmed:
+        return terms
+    return terms.join(restemmed(terms), "term").groupBy("query_id", F.col("stem_term").alias("term")).agg(F.sum("times").alias("times"))
 
 
 def phrase_lengths(queries: DataFrame) -> list[int]:
@@ -42,44 +45,69 @@ def phrase_lengths(queries: DataFrame) -> list[int]:
     return [1, *sorted(r["n"] for r in found)]
 
 
-def weights(terms: DataFrame, stats: DataFrame, hits: DataFrame, key: Sequence[str]) -> DataFrame:
+def spellings(terms: DataFrame, docs: DataFrame, stemmed: bool, lengths: Sequence[int]) -> DataFrame:
+    """(word, term): the words, or adjacent words, of analysed docs that count as each (distinct) term."""
+    terms = terms.select("term").distinct()
+    if not stemmed:
+        return terms.select(F.col("term").alias("word"), "term")
+    parts = terms.select("term", F.split("term", " ").alias("parts"))
+    wanted = parts.select(F.explode("parts").alias("stem")).distinct()
+    tokens = docs.select(F.explode(F.concat(*[c for c in docs.columns if c.startswith("t_")])).alias("word"))
+    known = stems(tokens).join(wanted, "stem", "left_semi")
+    done, open_ = None, parts.withColumn("word", F.lit(""))
+    for i in range(max(lengths)):
+        nth = known.select(F.col("word").alias("next"), F.col("stem").alias("part"))
+        open_ = open_.filter(F.size("parts") > i).withColumn("part", F.get("parts", F.lit(i))).join(nth, "part")
+        open_ = open_.select("term", "parts", F.ltrim(F.concat_ws(" ", "word", "next")).alias("word"))
+        whole = open_.filter(F.size("parts") == i + 1).select("word", "term")
+        done = whole if done is None else done.unionByName(whole)
+    return done
+
+
+def matching_postings(
+    docs: DataFrame, terms: DataFrame, key: Sequence[str], lengths: Sequence[int] = (1,), stemmed: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """(postings of the queried terms only, corpus statistics as one row), in one pass over analysed docs.
+
+    Occurrences meet the words of the queries in the task that reads them, and are counted there before
+    they are sent. Each document adds a row without a term for the statistics. The result is stored,
+    since frequencies, statistics and scores all read it.
+    """
+    words = spellings(terms, docs, stemmed, lengths)
+    rows = term_rows(docs, key, lengths).withColumnRenamed("term", "word").join(persist_durably(words, "query-words"), "word")
+    counted = rows.groupBy(*key, "dl", "term").agg(F.sum("weight").alias("f"))
+    sizes = docs.select(*key, "dl", F.lit("").alias("term"), F.lit(1.0).alias("f"))
+    both = persist_durably(counted.unionByName(sizes), "matching-postings")
+    stats = both.filter(F.col("term") == "").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    return both.filter(F.col("term") != ""), stats
+
+
+def weights(terms: DataFrame, n_docs: int, hits: DataFrame) -> DataFrame:
     """(query_id, term, weight): times the inverse document frequency over the matching postings."""
-    # Counting positive frequencies reads the columns scoring reads, so both share one shuffle.
-    df = hits.groupBy("term").agg(F.count_if(F.col("f") > 0).alias("df"))
-    n = stats_value(stats)["n_docs"]
-    idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     floored = F.when(idf <= 0, F.lit(K.BM25_MIN_IDF)).otherwise(idf)
     return terms.join(df, "term").select("query_id", "term", (F.col("times") * floored).alias("weight"))
 
 
-def score(terms: DataFrame, hits: DataFrame, stats: DataFrame, key: Sequence[str]) -> DataFrame:
-    """(query_id, key, score): BM25 summed over the phrases of each query."""
-    avgdl = stats_value(stats)["avgdl"]
-    norm = K.BM25_K1 * (1 - K.BM25_B + K.BM25_B * F.col("dl") / avgdl)
+def parts(terms: DataFrame, hits: DataFrame, stats: DataFrame, key: Sequence[str]) -> DataFrame:
+    """(query_id, key, term, part): BM25 of every matching term on its own."""
+    size = stats.first()
+    if not size.n_docs or not size.avgdl:  # nothing can match
+        return hits.join(terms, "term").select("query_id", *key, "term", F.lit(0.0).alias("part")).filter(F.lit(False))
+    norm = K.BM25_K1 * (1 - K.BM25_B + K.BM25_B * F.col("dl") / size.avgdl)
     saturated = F.col("f") * (K.BM25_K1 + 1) / (F.col("f") + norm)
     scored = hits.select(*key, "term", saturated.alias("part"))
-    joined = scored.join(weights(terms, stats, hits, key), "term")
-    return joined.groupBy("query_id", *key).agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
-
-
-def matching_postings(docs: DataFrame, terms: DataFrame, key: Sequence[str], lengths: Sequence[int] = (1,)) -> DataFrame:
-    """Postings of the queried terms only.
-
-    Token rows meet the query vocabulary before the shuffle. Hashing by document alone lets
-    the term count and the per-document scoring after it share one exchange.
-    """
-    vocabulary = terms.select("term").distinct()
-    rows = term_rows(docs, key, lengths).join(vocabulary, "term", "left_semi")
-    return rows.repartition(*[F.col(c) for c in key]).groupBy(*key, "dl", "term").agg(F.sum("weight").alias("f"))
+    joined = scored.join(weights(terms, size.n_docs, hits), "term")
+    return joined.select("query_id", *key, "term", (F.col("weight") * F.col("part")).alias("part"))
 
 
 def bm25(queries: DataFrame, docs: DataFrame, key: Sequence[str] = ("subdir", "name"), stemmed: bool = False,
          lengths: Sequence[int] = (1,)) -> DataFrame:
     """Scores of all matching documents. ``docs`` holds the key, name, type, tags and content."""
-    tokens = analysed(docs, list(key), stemmed)
-    terms = query_terms(queries, stemmed)
-    hits = matching_postings(tokens, terms, list(key), lengths)
-    return score(terms, hits, corpus_stats(tokens), list(key))
+    terms = persist_durably(query_terms(queries, stemmed), "query-terms")
+    hits, stats = matching_postings(analysed(docs, list(key)), terms, list(key), lengths, stemmed)
+    return parts(terms, hits, stats, list(key)).groupBy("query_id", *key).agg(F.sum("part").alias("score"))
 
 
 def ranked(scores: DataFrame, k: int) -> DataFrame:
@@ -91,15 +119,10 @@ def ranked(scores: DataFrame, k: int) -> DataFrame:
 def per_term_best(queries: DataFrame, docs: DataFrame, stemmed: bool = False, lengths: Sequence[int] = (1,)) -> DataFrame:
     """Fallback ranking: every term (a phrase of one of the lengths too) searched on its own, best score per name,
     not cut."""
-    each = query_terms(queries, stemmed).withColumn("times", F.lit(1))
-    tokens = analysed(docs, ["subdir", "name"], stemmed)
-    hits = matching_postings(tokens, each, ["subdir", "name"], lengths)
-    stats = corpus_stats(tokens)
-    avgdl = stats_value(stats)["avgdl"]
-    norm = K.BM25_K1 * (1 - K.BM25_B + K.BM25_B * F.col("dl") / avgdl)
-    part = F.col("f") * (K.BM25_K1 + 1) / (F.col("f") + norm)
-    joined = hits.select("name", "term", part.alias("part")).join(weights(each, stats, hits, ["name"]), "term")
-    return joined.groupBy("query_id", "name").agg(F.max(F.col("weight") * F.col("part")).alias("score"))
+    key = ["subdir", "name"]
+    each = persist_durably(query_terms(queries, stemmed).withColumn("times", F.lit(1)), "query-terms")
+    hits, stats = matching_postings(analysed(docs, key), each, key, lengths, stemmed)
+    return parts(each, hits, stats, key).groupBy("query_id", "name").agg(F.max("part").alias("score"))
 
 
 # --- link expansion ------------------------------------------------------------------------
@@ -174,39 +197,19 @@ def search_docs(queries: DataFrame, docs: DataFrame, pages: DataFrame | None, k:
     return finish(hits, pages, k, expand)
 
 
-def finish(hits: DataFrame, pages: DataFrame | None, k: int, expand: bool, links: DataFrame | None = None) -> DataFrame:
-    """Expansion (over stored ``links``, else over the links of ``pages``), fusion and final cut."""
+def finish(hits: DataFrame, pages: DataFrame | None, k: int, expand: bool) -> DataFrame:
+    """Expansion over the links of ``pages``, fusion and final cut."""
     order = [F.round("score", 12).desc(), F.col("name")]
     if not expand:
         return hits.filter(F.col("rank") <= k).select("query_id", "name", "score", "rank")
     rankings = [hits]
-    if pages is not None or links is not None:
+    if pages is not None:
         seeds = hits.filter(F.col("rank") <= K.SEED_COUNT).select("query_id", "name")
-        if links is not None:
-            near = hits_over(seeds, links)
-        else:
-            near = expansion_hits(seeds, graph.unique_pages(pages.select("subdir", "name", "content")))
+        near = expansion_hits(seeds, graph.unique_pages(pages.select("subdir", "name", "content")))
         rankings.append(expansion_ranks(persist_durably(near, "expansion"), hits, k))
     return top_k(fuse(*rankings), ["query_id"], order, k).select("query_id", "name", "score", "rank")
 
 
-def search_index(queries: DataFrame, index: dict[str, str], k: int = K.TOP_K, expand: bool = True, stemmed: bool = True) -> DataFrame:
-    """Search over stored index tables (the locations ``build_index`` returned).
-
-    No page text is read: terms, lengths and links were extracted when the index was built. The
-    posting buckets of the query terms (at most a few hundred numbers) prune the scan.
-    """
-    spark = queries.sparkSession
-    terms = query_terms(queries, stemmed)
-    vocabulary = terms.select("term").distinct().withColumn("bucket", term_bucket(F.col("term")))
-    buckets = [r["bucket"] for r in vocabulary.select("bucket").distinct().collect()]
-    stored = spark.read.parquet(index["postings"]).filter(F.col("bucket").isin(buckets))
-    rows = stored.join(vocabulary.select("term"), "term", "left_semi").select("subdir", "name", "dl", "term", "f")
-    scores = score(terms, rows, spark.read.parquet(index["stats"]), ["subdir", "name"])
-    hits = persist_durably(ranked(scores, 2 * k), "hits")
-    return finish(hits, None, k, expand, spark.read.parquet(index["neighbours"]) if expand else None)
-
-
 # --- context --------------------------------------------------------------------------------
 
 
@@ -288,5 +291,5 @@ def clean_question(queries: DataFrame) -> DataFrame:
 __all__ = [
     "bm25", "context", "context_text", "expansion_hits", "expansion_ranks", "fuse", "halved", "per_term_best",
     "phrase_lengths", "postings", "query_terms", "ranked", "results", "retrim", "search", "search_and_load",
-    "search_docs", "search_index", "clean_question",
+    "search_docs", "clean_question",
 ]

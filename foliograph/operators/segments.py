@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from foliograph import constants as K
 from foliograph.functions import pages as P
+from foliograph.functions.porter import stems
 from foliograph.operators.graph import subdir_rank
 from foliograph.operators.grouping import top_k
 from foliograph.operators.index import FIELDS, analysed, searchable
@@ -57,14 +58,18 @@ def bucket_of(term: Column, buckets: Column) -> Column:
     return F.pmod(F.xxhash64(term), buckets).cast("int")
 
 
-def occurrences(tokens: DataFrame) -> DataFrame:
-    """(key, dl, term, f, positions) of analysed pages: one row per page and term."""
+def occurrences(tokens: DataFrame, stemmed: bool = False) -> DataFrame:
+    """(key, dl, term, f, positions) of analysed pages: one row per page and term. Stems are found once for each
+    distinct word and joined to the occurrences."""
 
     def placed(field: str) -> Column:
         first, weight = F.lit(FIELDS.index(field) * FIELD_STRIDE), F.lit(K.BM25_WEIGHTS[field])
         return F.transform(f"t_{field}", lambda t, i: F.struct(t.alias("term"), (i + first).alias("place"), weight.alias("weight")))
 
     rows = tokens.select(*KEY, "dl", F.inline(F.concat(*map(placed, FIELDS))))
+    if stemmed:
+        known = stems(rows.select(F.col("term").alias("word")))
+        rows = rows.join(known.withColumnRenamed("word", "term"), "term").withColumn("term", F.col("stem"))
     return rows.groupBy(*KEY, "dl", "term").agg(F.sum("weight").alias("f"), F.sort_array(F.collect_list("place")).alias("positions"))
 
 
@@ -132,13 +137,13 @@ class SegmentIndex:
         name = uuid.uuid4().hex
         older = self.docs().join(gone, list(KEY), "left_semi")
         older.select(F.col("of").alias("segment"), *KEY, "dl", "terms").write.parquet(self._folder(name, "dead"))
-        tokens = persist_durably(analysed(searchable(pages), list(KEY), self.stemmed), "index-tokens")
+        tokens = persist_durably(analysed(searchable(pages), list(KEY)), "index-tokens")
+        postings = persist_durably(occurrences(tokens, self.stemmed), "index-postings")
         links = pages.select(*KEY, F.xxhash64("content").alias("digest"), P.link_targets(F.col("content")).alias("links"))
-        docs = tokens.select(
-            *KEY, F.col("dl").cast("long").alias("dl"), F.array_distinct(F.concat(*[f"t_{f}" for f in FIELDS])).alias("terms")
-        ).join(links, list(KEY))
-        docs.write.parquet(self._folder(name, "docs"))
-        segment = self._written(name, occurrences(tokens))
+        terms = postings.groupBy(*KEY).agg(F.collect_list("term").alias("terms"))
+        docs = tokens.select(*KEY, F.col("dl").cast("long").alias("dl")).join(terms, list(KEY), "left").join(links, list(KEY))
+        docs.withColumn("terms", F.coalesce("terms", F.array().cast("array<string>"))).write.parquet(self._folder(name, "docs"))
+        segment = self._written(name, postings)
         self._publish([*self.segments, segment])
         self.compact()
 

@@ -44,18 +44,6 @@ def test_bm25_equals_independent_engine(spark, stemmed):
             assert got[query_id][name] == pytest.approx(score, abs=1e-9)
 
 
-def test_stored_index_answers_like_the_direct_plan(spark, tmp_path):
-    pages = [("entities", f"P{i}", f"---\ntype: tool\ntags: [x]\n---\nText {i % 7} links [[P{(i * 3) % 40}]] and [[Hub]]") for i in range(40)]
-    pages.append(("concepts", "Hub", "Hub text 3"))
-    df = spark.createDataFrame(pages, "subdir string, name string, content string")
-    qs = spark.createDataFrame([(1, "text 3"), (2, "hub")], "query_id int, text string")
-    where = index.build_index(df, str(tmp_path))
-    stored = R.search_index(qs, where, k=15)
-    direct = R.search(qs, df, k=15)
-    key = lambda d: sorted((r.query_id, r.name, r["rank"], round(r.score, 9)) for r in d.collect())
-    assert key(stored) == key(direct)
-
-
 def test_expansion_ranks_are_exact_for_a_hub(spark):
     """A hub's neighbours: the best k and every text-matched one get their true rank."""
     rng = random.Random(2)

@@ -56,7 +56,7 @@ def test_updates_deletions_and_merges(spark, tmp_path):
     same(spark, S.search(qs, again, 6, expand=False), pages, 6, False, stemmed)
     again.sync(pages)
     assert again.version == index.version  # nothing had changed
-    tokens = I.analysed(I.searchable(pages), list(S.KEY), stemmed)
+    tokens = I.analysed(I.searchable(pages), list(S.KEY))
     direct = I.postings(tokens, list(S.KEY)).select(*S.KEY, "dl", "term", "f")
     stored = again.postings().select(*S.KEY, "dl", "term", "f")
     assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, direct.collect()))
