@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from foliograph.operators import dedup, lint, retrieval
 from foliograph.operators.files import file_status
 from foliograph.operators.index import raw_file_index
+from foliograph.operators.segments import SegmentIndex
+from foliograph.operators.segments import search as search_index
 from foliograph.functions.text import human_size
 from foliograph.plans import browse, ingest, question
 from foliograph.session import configure
@@ -56,6 +58,13 @@ def print_rows(df) -> None:
         print("\t".join("" if v is None else str(v) for v in row))
 
 
+def synced(spark: SparkSession, store: WikiStore) -> SegmentIndex:
+    """The store's index, brought up to date if the store has a newer version than it was synced with."""
+    index = SegmentIndex(spark, f"{store.path}/index")
+    index.sync(store.read().pages, store.current())
+    return index
+
+
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
     configure(spark)
     store = WikiStore(spark, args.store)
@@ -73,14 +82,14 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         def report(findings):
             lint.summary(findings).orderBy("level", "code").show()
 
-        watch(spark, args.raw, store, f"{args.store.rstrip('/')}/watch-checkpoint", day, on_lint=report if args.lint else None).awaitTermination()
+        watch(spark, args.raw, store, f"{args.store.rstrip('/')}/watch-checkpoint", day, on_lint=report if args.lint else None, on_failed=print_rows).awaitTermination()
     elif args.command == "search":
         asked = spark.createDataFrame([(1, args.text)], "query_id int, text string")
-        found = retrieval.search(asked, wiki.pages, args.top, lengths=retrieval.phrase_lengths(asked))
+        found = search_index(asked, synced(spark, store), args.top)
         print_rows(retrieval.results(found, wiki.pages).orderBy("rank").select("rank", "name", "subdir", "score", "snippet"))
     elif args.command == "ask":
         asked = spark.createDataFrame([(1, args.text)], "query_id int, text string")
-        answers = question.answer(asked, wiki.pages)
+        answers = question.answer(asked, wiki.pages, index=synced(spark, store))
         answers.select("route", "label", "answer", "sources").show(1, False)
         if args.save:
             pages = ingest.replace_pages(wiki.pages, question.saved(answers, day))

@@ -377,12 +377,9 @@ def _(t):
     return unique_pages(t.wiki).filter(F.contains(F.lower("name"), F.lit("et 1"))).select("name")
 
 
-_GEN = r"(?i)^\s*(?:" + "|".join(K.GENERIC_DETERMINERS) + r")\s+(?:" + "|".join(K.GENERIC_NOUNS) + r")\b"
-
-
 def _generic_sql(d, n):
     x = S.trim(d)
-    return f"({d} <> '' AND ({S.context_local(x, n)} OR (length({x}) <= 200 AND regexp_matches({x}, {S.q(_GEN)}))))"
+    return f"({d} <> '' AND ({S.context_local(x, n)} OR (length({x}) <= 200 AND regexp_matches({x}, {S.q(K.GENERIC_REFERENCE)}))))"
 
 
 @query("F4_generic_description", f"SELECT source, pos, {_generic_sql('description', 'name')} AS hit FROM mentions", "mentions")

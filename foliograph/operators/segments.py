@@ -38,7 +38,7 @@ TIER = 4  # segments of one size tier that are merged
 FIELD_STRIDE = 1 << 32  # positions of the next field begin here
 MARGIN = 1e-6  # scores are ranked by nine decimals
 
-MANIFEST = "version long, segment string, ord int, pages long, tokens long, slices int, buckets int, stemmed boolean"
+MANIFEST = "version long, segment string, ord int, pages long, tokens long, slices int, buckets int, stemmed boolean, source long"
 POSTING = "array<struct<subdir:string,name:string,dl:long,f:double,positions:array<bigint>>>"
 BLOCKS = f"term string, level int, slice int, n int, max_f double, min_dl long, postings {POSTING}, bucket int"
 DOCS = "subdir string, name string, digest long, dl long, terms array<string>, links array<string>"
@@ -89,29 +89,30 @@ class SegmentIndex:
 
     def __init__(self, spark: SparkSession, path: str, stemmed: bool = True, slice_pages: int = SLICE_PAGES):
         self.spark, self.path, self.stemmed, self.slice_pages = spark, path.rstrip("/"), stemmed, slice_pages
-        self.version, self.segments = self._listed()
+        self.version, self.segments, self.source = self._listed()
         if any(s.stemmed != stemmed for s in self.segments):
             raise ValueError("this index was built with another analyser")
 
-    def _listed(self) -> tuple[int, list[Row]]:
-        """Newest version and its segments, oldest first (at most a few dozen rows)."""
+    def _listed(self) -> tuple[int, list[Row], int | None]:
+        """Newest version, its segments, oldest first (at most a few dozen rows), and what it was synced with."""
         try:
             rows = self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest")
             version = rows.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
         except AnalysisException as e:
             if not is_missing_path(e):
                 raise
-            return 0, []
-        found = rows.filter((F.col("version") == version) & F.col("segment").isNotNull()).collect()
-        return version, sorted(found, key=lambda s: s.ord)
+            return 0, [], None
+        found = rows.filter(F.col("version") == version).collect()
+        segments = sorted((r for r in found if r.segment is not None), key=lambda s: s.ord)
+        return version, segments, found[0].source if found else None
 
     def _publish(self, segments: list[Row]) -> None:
         """List a version; a version without segments is one row without a segment."""
         version = self.version + 1
-        rows = [(version, s.segment, i, s.pages, s.tokens, s.slices, s.buckets, s.stemmed) for i, s in enumerate(segments)]
-        rows = rows or [(version, None, None, None, None, None, None, None)]
+        rows = [(version, s.segment, i, s.pages, s.tokens, s.slices, s.buckets, s.stemmed, self.source) for i, s in enumerate(segments)]
+        rows = rows or [(version, *[None] * 7, self.source)]
         self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
-        self.version, self.segments = self._listed()
+        self.version, self.segments, self.source = self._listed()
 
     def _folder(self, segment: str, table: str) -> str:
         return f"{self.path}/segments/{segment}/{table}"
@@ -147,15 +148,22 @@ class SegmentIndex:
         self._publish([*self.segments, segment])
         self.compact()
 
-    def sync(self, pages: DataFrame) -> None:
+    def sync(self, pages: DataFrame, source: int | None = None) -> None:
         """Commit the difference between pages (subdir, name, content; one row per key) and the live ones. Pages are
-        compared by key and a hash of their text; only changed texts are read on."""
+        compared by key and a hash of their text; only changed texts are read on. ``source`` is the number of the
+        version that pages are of: an index that was synced with it is left alone, without reading a page."""
+        if source is not None and source == self.source:
+            return
         held = self.docs().select(*KEY, "digest")
         same = (pages["subdir"] == held["subdir"]) & (pages["name"] == held["name"]) & (F.xxhash64(pages["content"]) == held["digest"])
         changed = persist_durably(pages.join(held, same, "left_anti").select(*KEY, "content"), "changed-pages")
         deleted = persist_durably(held.select(*KEY).join(pages.select(*KEY), list(KEY), "left_anti"), "deleted-pages")
-        if not (changed.isEmpty() and deleted.isEmpty()):
+        differs = not (changed.isEmpty() and deleted.isEmpty())
+        self.source = source if source is not None else self.source
+        if differs:
             self.commit(changed, deleted)
+        elif source is not None:
+            self._publish(self.segments)
 
     def _written(self, name: str, postings: DataFrame) -> Row:
         """Write the blocks of a segment whose docs are written; its manifest row."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliograph import constants as K
-from foliograph.operators import chat, models, retrieval
+from foliograph.operators import chat, models, retrieval, segments
 from foliograph.session import persist_durably
 
 _TOO_LARGE = "No answer: the model cannot take in even one page of the wiki."
@@ -26,26 +26,31 @@ def routes(questions: DataFrame, history: DataFrame | None, model) -> DataFrame:
     return asked.select(*questions.columns, chat.parse_route(F.col("reply")).alias("route"))
 
 
-def retrieve(questions: DataFrame, pages: DataFrame, stemmed: bool = True, k: int = K.TOP_K) -> DataFrame:
-    """Context pages of the questions that need the wiki."""
+def retrieve(questions: DataFrame, pages: DataFrame, stemmed: bool = True, k: int = K.TOP_K,
+             index: segments.SegmentIndex | None = None) -> DataFrame:
+    """Context pages of the questions that need the wiki, found in its stored index where there is one: then
+    only the found pages are read."""
     asked = retrieval.clean_question(questions)
+    if index is not None:
+        return retrieval.context(persist_durably(segments.search(asked, index, k), "found"), pages)
     lengths = retrieval.phrase_lengths(asked)
     found = persist_durably(retrieval.search(asked, pages, k, stemmed=stemmed, lengths=lengths), "found")
     return retrieval.context(found, pages)
 
 
 def answer(questions: DataFrame, pages: DataFrame, model=None, history: DataFrame | None = None, stemmed: bool = True,
-           web: DataFrame | None = None) -> DataFrame:
+           web: DataFrame | None = None, index: segments.SegmentIndex | None = None) -> DataFrame:
     """One row per question (query_id, text[, conv_id]): route, source label, answer, cited pages.
 
     Retrieval routes without context fall back to DIRECT. An overflow is retried once with the
     first half of the pages; what is left empty then is answered directly on the hybrid route.
-    ``web`` holds external results (query_id, rank, title, body, href) to add.
+    ``web`` holds external results (query_id, rank, title, body, href) to add. ``index`` is a stored index of
+    ``pages``, kept up to date by its ``sync``.
     """
     model = model or models.OfflineModel()
     routed = persist_durably(routes(questions, history, model), "routes")
     needy = routed.filter(F.col("route").isin("RETRIEVE", "HYBRID"))
-    ctx = persist_durably(retrieval.retrim(retrieve(needy.select("query_id", "text"), pages, stemmed)), "context")
+    ctx = persist_durably(retrieval.retrim(retrieve(needy.select("query_id", "text"), pages, stemmed, index=index)), "context")
     text = retrieval.context_text(ctx).withColumnRenamed("text", "context")
     half = retrieval.context_text(retrieval.halved(ctx)).withColumnRenamed("text", "half")
     cited = ctx.groupBy("query_id").agg(

@@ -91,9 +91,10 @@ def test_stems_and_sync(spark, tmp_path):
     rng = random.Random(12)
     index = S.SegmentIndex(spark, str(tmp_path))
     pages = None
-    for _ in range(2):
+    for version in (1, 2):
         pages = spark.createDataFrame([page(rng, i, 40) for i in rng.sample(range(60), 40)], SCHEMA).dropDuplicates(["subdir", "name"]).persist()
-        index.sync(pages)
+        index.sync(pages, version)
+    index.sync(pages.filter("name < 'A'"), 2)  # synced with that version already
     qs = spark.createDataFrame(QUESTIONS, "query_id int, text string")
     assert index.version == 2 and index.docs().count() == pages.count()
     assert len(same(spark, S.search(qs, index, 4), pages, 4, True, True)) > 15
