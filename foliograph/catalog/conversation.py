@@ -233,3 +233,15 @@ def _(t):
     update = F.array(F.struct(F.lit("New $1").alias("source"), F.lit("Fresh text.").alias("description"), F.lit("2024").alias("source_date")))
     rows = t.wiki.filter(F.contains("content", F.lit("source_dates:")))
     return rows.select("name", rewrite.add_sources(F.col("content"), update, F.lit("2024-01-01")).alias("content"))
+
+
+@query(
+    "L6_first_titles",
+    "SELECT page_id // 10 AS query_id, CAST(page_id % 10 + 1 AS INTEGER) AS rank, 'Page ' || page_id AS title FROM pages WHERE page_id % 10 < 5",
+)
+def _(t):
+    p = F.col("page_id")
+    rows = t.web_pages.select(
+        F.floor(p / 10).alias("query_id"), (p % 10 + 1).cast("int").alias("rank"), F.concat(F.lit("Page "), p.cast("string")).alias("title")
+    )
+    return chat.first_titles(rows)

@@ -409,7 +409,7 @@ def _(t):
 
 @query("A17_totals", "SELECT source, count(*) AS files, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY 1")
 def _(t):
-    return t.documents.groupBy("source").agg(F.count("*").alias("files"), F.sum(F.octet_length("text")).alias("bytes"))
+    return files.totals(t.documents, ["source"], F.col("text")).select("source", F.col("n").alias("files"), "bytes")
 
 
 @query(

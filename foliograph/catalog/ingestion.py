@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 
 from foliograph.catalog import sql as S
 from foliograph.catalog.registry import query
+from foliograph.catalog.search import stemmed_wiki
 from foliograph.functions.text import content_hash
+from foliograph.operators import models
+from foliograph.operators.files import totals
 from foliograph.plans import ingest as plan
 from foliograph.plans import question
 from foliograph.session import shared_dir
+from foliograph.sources import raw
 from foliograph.sources.raw import parsed
 from foliograph.sources.store import empty_wiki
 
@@ -67,12 +71,117 @@ def _(t):
     return plan.ingest(empty_wiki(t.spark), _document_files(t), "2024-01-01").pages
 
 
-@query("I5_answers")
+@query(
+    "I5_answers",
+    stemmed_wiki(f"""SELECT query_id, 'RETRIEVE' AS route, 'wiki' AS label, '# ' || min_by(name, place) AS answer,
+      string_agg(name, '|' ORDER BY place) AS sources
+    FROM (SELECT f.query_id, u.name, row_number() OVER w AS place, sum(length(u.content)) OVER (w ROWS UNBOUNDED PRECEDING) AS chars
+      FROM found f JOIN uniq u USING (name) WINDOW w AS (PARTITION BY f.query_id ORDER BY u.subdir <> 'sources', f.rank))
+    WHERE place = 1 OR chars <= {S.K.CONTEXT_CHARS} GROUP BY query_id"""),
+)
 def _(t):
     """Every question answered over the derived wiki with the offline model."""
     return question.answer(t.questions, t.wiki).select("query_id", "route", "label", "answer", F.array_join("sources", "|").alias("sources"))
 
 
+class Router(models.OfflineModel):
+    """Routes by what a question holds."""
+
+    def route(self, question: str, context: str) -> str:
+        return "DIRECT" if "7" in question else "hybrid, I think" if "3" in question else "RETRIEVE"
+
+
+@query(
+    "X6_routes",
+    "SELECT query_id, CASE WHEN contains(text, '7') THEN 'DIRECT' WHEN contains(text, '3') THEN 'HYBRID' ELSE 'RETRIEVE' END AS route FROM questions",
+    "questions",
+)
+def _(t):
+    return question.routes(t.questions, None, Router()).select("query_id", "route")
+
+
+class NarrowModel(models.OfflineModel):
+    """Takes eight summaries at most; adds up their lengths, and what it made of them before."""
+
+    def overview(self, title: str, summaries: list[str], entities: list[str], concepts: list[str]) -> str:
+        if len(summaries) > 8:
+            raise models.ContextOverflow()
+        return "\x01" + str(sum(int(s[1:]) if s.startswith("\x01") else len(s) for s in summaries))
+
+
+@query(
+    "X3_overview_tree",
+    "SELECT doc_id, CAST(sum(length(line)) AS BIGINT) AS chars FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY 1",
+)
+def _(t):
+    """The lines of every document summed up by a model that overflows at every level."""
+    none = F.array().cast("array<string>")
+    named = t.documents.filter("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("filename"), "text")
+    told, _ = models.overview_tree(
+        named.select("filename", F.col("filename").alias("title"), none.alias("entities"), none.alias("concepts")),
+        named.select("filename", F.posexplode(F.split("text", "\n")).alias("place", "summary")), NarrowModel(),
+    )
+    return told.select(F.col("filename").cast("long").alias("doc_id"), F.substring("overview", 2, 20).cast("long").alias("chars"))
+
+
+@query(
+    "X1_extraction",
+    f"""SELECT 'doc-' || doc_id AS source, 1 AS chunk, left(string_split({S.trim('text')}, chr(10))[1], 80) AS title,
+      string_split({S.trim('text')}, '. ')[1] AS summary, '' AS error FROM documents WHERE {S.trim('text')} <> ''""",
+)
+def _(t):
+    """Titles and summaries that the offline model extracts from every document."""
+    chunks = t.documents.filter(F.regexp_replace("text", S.K.WS, "") != "").select(
+        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("source"), F.lit(1).alias("chunk"), F.lit(1).alias("total"), "text"
+    )
+    return models.extract_chunks(chunks, models.OfflineModel()).select("source", "chunk", "e.title", "e.summary", "error")
+
+
+@query(
+    "S5_raw_listing",
+    "SELECT 'doc-' || doc_id || '.txt' AS filename, CAST(strlen(text) AS BIGINT) AS size_bytes, sha256(text) AS sha256 FROM documents",
+)
+def _(t):
+    return raw.listing(_document_files(t)).select("filename", "size_bytes", "sha256")
+
+
+def _as_text(content: bytes) -> str:
+    return content.decode("utf-8", "replace")
+
+
+@query(
+    "S7_document_texts",
+    f"SELECT 'doc-' || doc_id || '.pdf' AS filename, 'pdf' AS file_type, text FROM documents WHERE {S.trim('text')} <> ''",
+)
+def _(t):
+    """Document files read by an extractor of the caller's."""
+    named = _document_files(t).withColumn("filename", F.regexp_replace("filename", "txt$", "pdf"))
+    return parsed(named, _as_text).select("filename", "file_type", "text")
+
+
+@query("S9_decoded_texts", "SELECT 'doc-' || doc_id || '.txt' AS filename, text || chr(65533) || '.' AS text FROM documents")
+def _(t):
+    """Text files with a byte that is not UTF-8."""
+    files = _document_files(t).withColumn("content", F.concat("content", F.unhex(F.lit("FF2E"))))
+    return parsed(files).select("filename", "text")
+
+
+@query(
+    "K5_log",
+    f"""WITH {_UPSERT}, tch AS (SELECT g.source, st.subdir, st.name, st.status FROM g JOIN st ON g.subdir = st.subdir AND g.k = lower(st.name)),
+    n AS (SELECT source, count(*) FILTER (status = 'created') AS created, count(*) FILTER (status = 'updated') AS updated,
+      coalesce(list_sort(list(DISTINCT name) FILTER (status = 'created' AND subdir = 'entities'))[1:10], []) AS e,
+      coalesce(list_sort(list(DISTINCT name) FILTER (status = 'created' AND subdir = 'concepts'))[1:10], []) AS c FROM tch GROUP BY source)
+    SELECT '2024-01-01' AS day, source AS title, source || '.txt' AS filename, created, updated, array_to_string(list_concat(e, c), '|') AS names FROM n""",
+    "wiki mentions",
+)
+def _(t):
+    """One log row for every source of the mentions."""
+    facts = t.mentions.select(F.col("source").alias("title")).distinct().select(F.concat("title", F.lit(".txt")).alias("filename"), "title")
+    log = plan.log_rows(facts, None, _upserted(t), "2024-01-01")
+    return log.withColumn("names", F.array_join("names", "|"))
+
+
 _IMAGE = "CASE page_id % 3 WHEN 0 THEN 'my_pic-' || page_id || '.PNG' WHEN 1 THEN '2021-04_shot ' || page_id || '.jpeg' ELSE '_-.svg' END"
 
 
@@ -149,4 +258,4 @@ def _(t):
     "SELECT source, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) AS n FROM documents GROUP BY 1",
 )
 def _(t):
-    return t.documents.groupBy("source").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("n"))
+    return totals(t.documents, ["source"], F.col("text")).select("source", "chars", "n")

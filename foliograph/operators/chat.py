@@ -52,6 +52,13 @@ def history_block(messages: DataFrame, budget: int = K.HISTORY_BUDGET) -> DataFr
     return entries.groupBy("conv_id").agg(text.alias("block"))
 
 
+def first_titles(results: DataFrame, n: int = K.SHOWN_RESULTS) -> DataFrame:
+    """(query_id, rank, title): the first titles of external results, told before an answer is written."""
+    return top_k(results.select("query_id", F.col("rank").alias("place"), "title"), ["query_id"], [F.col("place"), F.col("title")], n).select(
+        "query_id", "rank", "title"
+    )
+
+
 def route_context(messages: DataFrame) -> DataFrame:
     """(conv_id, block): last four non-blank user and assistant messages, tightly clipped."""
     user = F.col("role") == "user"
