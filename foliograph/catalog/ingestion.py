@@ -17,7 +17,7 @@ from foliograph.plans import question
 from foliograph.session import shared_dir
 from foliograph.sources import raw
 from foliograph.sources.raw import parsed
-from foliograph.sources.store import empty_wiki
+from foliograph.sources.store import WikiStore, empty_wiki
 
 _UPSERT = f"""g AS (SELECT subdir, lower({S.safe_name('name')}) AS k, source FROM mentions GROUP BY ALL),
 e AS (SELECT subdir, lower(name) AS k, min(name) AS p_name, min_by(content, name) AS content FROM wiki WHERE subdir IN ('entities', 'concepts') GROUP BY ALL),
@@ -41,6 +41,24 @@ def _(t):
     return _upserted(t).groupBy("subdir", "status").agg(F.count("*").alias("n"))
 
 
+@query(
+    "K2_bucket_commit",
+    """SELECT subdir, name, sha256(CASE WHEN ends_with(name, '3') THEN content || 'more' ELSE content END) AS sha256
+    FROM wiki WHERE NOT ends_with(name, '7') UNION ALL SELECT 'concepts', 'New ' || name, sha256(content) FROM wiki WHERE subdir = 'synthesis'""",
+    "wiki",
+)
+def _(t):
+    """The pages of a store after a commit that replaced, deleted and added some."""
+    store = WikiStore(t.spark, f"{shared_dir(t.spark)}/store-{uuid.uuid4().hex}")
+    pages = t.wiki.select("subdir", "name", "content")
+    store.write(empty_wiki(t.spark).with_tables(pages=pages))
+    more = F.when(F.endswith("name", F.lit("3")), F.concat("content", F.lit("more"))).otherwise(F.col("content"))
+    kept = pages.filter(~F.endswith("name", F.lit("7"))).withColumn("content", more)
+    new = pages.filter(F.col("subdir") == "synthesis").select(F.lit("concepts").alias("subdir"), F.concat(F.lit("New "), "name").alias("name"), "content")
+    store.write(store.read().with_tables(pages=kept.unionByName(new)))
+    return store.read().pages.select("subdir", "name", content_hash(F.encode("content", "UTF-8")).alias("sha256"))
+
+
 @query("K1_new_pages", f"WITH {_UPSERT} SELECT subdir, name FROM st WHERE status = 'created'", "wiki mentions")
 def _(t):
     return _upserted(t).filter(F.col("status") == "created").select("subdir", "name")
