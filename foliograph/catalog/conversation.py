@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from foliograph import constants as K
@@ -10,6 +12,7 @@ from foliograph.catalog.registry import query
 from foliograph.functions import chunks, replies, rewrite
 from foliograph.functions import text as T
 from foliograph.operators import chat
+from foliograph.session import shared_dir
 from foliograph.sources import raw
 
 _PARA = "replace(text, chr(10), chr(10) || chr(10))"
@@ -66,6 +69,22 @@ def _(t):
     return t.events.select("event_id", raw.sms_line(message).alias("line"))
 
 
+@query(
+    "S8_messages",
+    "SELECT line, count(*) AS n FROM (SELECT '[' || strftime(ts, '%Y-%m-%d %H:%M') || '] ' || CASE event_type WHEN 'click' THEN 'SENT ' ELSE 'RECV ' END || 'user ' || user_id || ': ' || event_type || ' <&\"' || event_id AS line FROM events) GROUP BY 1",
+)
+def _(t):
+    """Message archives written from the events, read back in splits."""
+    folder = f"{shared_dir(t.spark)}/archives-{uuid.uuid4().hex}"
+    way = F.when(F.col("event_type") == "click", "2").otherwise("1")
+    message = F.format_string(
+        '<sms date="%d" type="%s" contact_name="user %d" body="%s &lt;&amp;&quot;%d" />',
+        F.unix_millis(F.col("ts").cast("timestamp")), way, "user_id", "event_type", "event_id",
+    )
+    t.events.select(message.alias("value")).write.text(folder)
+    return raw.sms_messages(t.spark, folder).groupBy("line").agg(F.count("*").alias("n"))
+
+
 @query(
     "P18_tolerant_json",
     """SELECT event_id, event_type AS title, CASE WHEN event_id % 5 = 4 THEN '' ELSE props END AS summary,
