@@ -27,6 +27,5 @@ ORACLES = {
     "op3_line_dedup": line_dedup.ORACLE,
     "op9_warc": warc.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
-    "op12_licenses": licenses.query,
     "op13_hard_negatives": hard_negatives.ORACLE,
 }
