@@ -80,11 +80,6 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
-def stats_value(stats: DataFrame) -> Column:
-    """Both statistics as one scalar subquery, so the corpus is measured once per plan."""
-    return stats.select(F.struct("n_docs", "avgdl")).scalar()
-
-
 def raw_file_index(pages: DataFrame) -> DataFrame:
     """(filename, source_page, source_hash) from the markers of source pages; the last page wins."""
     rows = pages.filter(F.col("subdir") == "sources").select(
