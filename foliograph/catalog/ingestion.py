@@ -85,7 +85,7 @@ def _(t):
 
 @query("I2_ingest_documents")
 def _(t):
-    """Every document ingested into an empty wiki with the offline model."""
+    """Every document ingested into an empty wiki with the offline model, as if file by file."""
     return plan.ingest(empty_wiki(t.spark), _document_files(t), "2024-01-01").pages
 
 
@@ -186,7 +186,10 @@ def _(t):
 
 @query(
     "K5_log",
-    f"""WITH {_UPSERT}, tch AS (SELECT g.source, st.subdir, st.name, st.status FROM g JOIN st ON g.subdir = st.subdir AND g.k = lower(st.name)),
+    f"""WITH {_UPSERT}, tch AS (SELECT g.source, st.subdir, st.name, CASE
+      WHEN e.p_name IS NULL AND g.source = min(g.source) OVER (PARTITION BY g.subdir, g.k) THEN 'created'
+      WHEN contains(coalesce(e.content, ''), '[[' || g.source || ']]') THEN 'exists' ELSE 'updated' END AS status
+      FROM g JOIN st ON g.subdir = st.subdir AND g.k = lower(st.name) LEFT JOIN e ON g.subdir = e.subdir AND g.k = e.k),
     n AS (SELECT source, count(*) FILTER (status = 'created') AS created, count(*) FILTER (status = 'updated') AS updated,
       coalesce(list_sort(list(DISTINCT name) FILTER (status = 'created' AND subdir = 'entities'))[1:10], []) AS e,
       coalesce(list_sort(list(DISTINCT name) FILTER (status = 'created' AND subdir = 'concepts'))[1:10], []) AS c FROM tch GROUP BY source)

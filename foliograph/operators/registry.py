@@ -18,6 +18,11 @@ def _registration(tier: Column, reg_ord: Column) -> Column:
     return F.struct((tier != "seed").cast("int").alias("tier"), reg_ord.alias("ord"))
 
 
+def _order(entry: dict[str, Column]) -> list[Column]:
+    """What decides between entries of one key; the last one wins."""
+    return [entry["tier"] != "seed", entry["reg_ord"], entry["subdir"], entry["canonical_name"], entry["description"]]
+
+
 def primaries(entries: DataFrame) -> DataFrame:
     """One entry per canonical key (``key`` + entry columns); equal registrations by kind and name."""
     keyed = entries.select(alias_key(F.col("canonical_name")).alias("key"), *ENTRY).filter(F.col("key") != "")
@@ -46,10 +51,35 @@ def gazetteer(entries: DataFrame) -> DataFrame:
     return alias_index(entries).join(entry, "primary_key")
 
 
-def lookup(items: DataFrame, entries: DataFrame) -> DataFrame:
-    """Left join of items (name, type, subdir) to their entry; NULL on a type or kind conflict."""
+def _with_later(joined: DataFrame, later: DataFrame) -> DataFrame:
+    """Rows of ``lookup`` with what entries of earlier files change about them."""
+
+    def candidate(own: Column, prefix: str) -> Column:
+        c = {name: F.col(prefix + name) for name in ENTRY}
+        order = [own.alias("own"), *_order(c), *[c[n] for n in ("compatible_types", "aliases", "canonical_type")]]
+        return F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.struct(*[c[n].alias(f"e_{n}") for n in ENTRY]).alias("entry"))
+
+    # A key has as many as there are stable pages with that name, whatever stands in their parentheses.
+    named = later.select(alias_key(F.col("canonical_name")).alias("surface_key"), "since", candidate(F.lit(True), "").alias("c"))
+    by_key = named.filter("surface_key <> ''").groupBy("surface_key").agg(F.collect_list(F.struct("c", "since")).alias("later"))
+    seen = F.filter("later", lambda x: x["since"] < F.col("source"))
+    newest = F.array_max(F.transform(seen, lambda x: x["c"]))
+    own = alias_key(F.col("e_canonical_name")) == F.col("surface_key")
+    known = F.when(F.col("e_canonical_name").isNotNull(), candidate(own, "e_"))
+    rest = [c for c in joined.columns if c not in [f"e_{n}" for n in ENTRY]]
+    best = joined.join(by_key, "surface_key", "left").withColumn("best", F.greatest(known, newest))
+    return best.select(*rest, "best.entry.*")
+
+
+def lookup(items: DataFrame, entries: DataFrame, later: DataFrame | None = None) -> DataFrame:
+    """Left join of items (name, type, subdir) to their entry; NULL on a type or kind conflict.
+
+    ``later`` holds entries that count only for items of a ``source`` after their ``since``; none is a seed's.
+    """
     surface = gazetteer(entries).withColumnRenamed("key", "surface_key")
     joined = items.withColumn("surface_key", alias_key(F.col("name"))).join(surface, "surface_key", "left")
+    if later is not None:
+        joined = _with_later(joined, later)
     fits = accepts_type(F.col("e_compatible_types"), F.col("type")) & (
         (blank(F.col("e_subdir")) == "") | (F.col("e_subdir") == F.col("subdir"))
     )
@@ -86,11 +116,12 @@ def promotable(pages: DataFrame, min_sources: int = K.PROMOTE_MIN_SOURCES) -> Da
         "subdir",
         F.lit("promoted").alias("tier"),
         F.col("name").alias("page"),
+        "n_sources",
     )
 
 
-def promote(pages: DataFrame, entries: DataFrame) -> DataFrame:
+def promote(pages: DataFrame, entries: DataFrame, min_sources: int = K.PROMOTE_MIN_SOURCES) -> DataFrame:
     """Promotable entries that no seed entry already covers."""
     seeds = primaries(entries).filter(F.col("tier") == "seed").select("key")
-    new = promotable(pages).withColumn("key", alias_key(F.col("canonical_name")))
+    new = promotable(pages, min_sources).withColumn("key", alias_key(F.col("canonical_name")))
     return new.join(seeds, "key", "left_anti").drop("key")
