@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliograph import constants as K
 from foliograph.functions import pages as P
-from foliograph.functions.text import trim_ws
+from foliograph.functions.text import computed, trim_ws
 from foliograph.operators import graph
 
 
@@ -42,17 +42,18 @@ def stale_catalog_links(pages: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def frontmatter_issues(pages: DataFrame) -> DataFrame:
     """(name, problems) of unique pages with an incomplete front matter."""
-    found = graph.unique_pages(pages).select("name", P.frontmatter_problems(F.col("content")).alias("p"))
+    found = graph.unique_pages(pages).select("name", computed(P.frontmatter_problems(F.col("content"))).alias("p"))
     return found.filter(F.size("p") > 0).select("name", F.array_join("p", ", ").alias("problems"))
 
 
 def thin_pages(pages: DataFrame) -> DataFrame:
-    return graph.unique_pages(pages).filter(is_thin_page(F.col("content"))).select("name")
+    return graph.unique_pages(pages).select("name", computed(is_thin_page(F.col("content"))).alias("thin")).filter("thin").select("name")
 
 
 def bodyless_pages(pages: DataFrame) -> DataFrame:
     unique = graph.unique_pages(pages)
-    return unique.filter(P.is_bodyless(F.col("subdir"), F.col("content"))).select("subdir", "name")
+    judged = unique.select("subdir", "name", computed(P.is_bodyless(F.col("subdir"), F.col("content"))).alias("bodyless"))
+    return judged.filter("bodyless").select("subdir", "name")
 
 
 def page_counts(pages: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliograph import constants as K
 from foliograph.functions import pages as P
-from foliograph.functions.text import is_valid_page_name
+from foliograph.functions.text import computed, is_valid_page_name
 from foliograph.operators import graph
 
 
@@ -18,7 +18,7 @@ def page_listing(pages: DataFrame, subdir: str = "") -> DataFrame:
     chosen = pages.filter(F.col("subdir") == subdir) if subdir else pages
     c = F.col("content")
     rows = chosen.select(
-        "subdir", "name", P.field_value(c, "type").alias("page_type"), P.list_items(P.field_value(c, "tags")).alias("tags"),
+        "subdir", "name", P.field_value(c, "type").alias("page_type"), computed(P.list_items(P.field_value(c, "tags"))).alias("tags"),
         P.field_value(c, "created").alias("created"), P.field_value(c, "updated").alias("updated"),
     )
     return rows.orderBy(graph.subdir_rank(F.col("subdir")), "name")
