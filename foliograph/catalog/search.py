@@ -15,13 +15,13 @@ from foliograph.operators import segments
 from foliograph.session import persist_durably, shared_dir
 
 
-def _scores(t):
+def _scores(t, k=None):
     q = t.questions
-    return R.bm25(q, index.searchable(t.wiki), lengths=R.phrase_lengths(q))
+    return R.bm25(q, index.searchable(t.wiki), lengths=R.phrase_lengths(q), k=k)
 
 
 def _hits(t, k=2 * K.TOP_K):
-    return R.ranked(_scores(t), k)
+    return R.ranked(_scores(t, k), k)
 
 
 def _found(t):

@@ -18,7 +18,7 @@ from foliograph.operators import graph
 from foliograph.operators.grouping import top_k
 from foliograph.session import persist_durably
 from foliograph.functions.porter import stems
-from foliograph.operators.index import analysed, plain_tokens, postings, restemmed, searchable, term_rows
+from foliograph.operators.index import analysed, corpus_stats, plain_tokens, postings, restemmed, searchable, term_rows
 
 
 def query_terms(queries: DataFrame, stemmed: bool = False) -> DataFrame:
@@ -64,22 +64,21 @@ def spellings(terms: DataFrame, docs: DataFrame, stemmed: bool, lengths: Sequenc
     return done
 
 
-def matching_postings(
+def matching_documents(
     docs: DataFrame, terms: DataFrame, key: Sequence[str], lengths: Sequence[int] = (1,), stemmed: bool = False
 ) -> tuple[DataFrame, DataFrame]:
-    """(postings of the queried terms only, corpus statistics as one row), in one pass over analysed docs.
+    """(key, matched: its postings of queried terms as (dl, term, f), in order), (corpus statistics as one row).
 
-    Occurrences meet the words of the queries in the task that reads them, and are counted there before
-    they are sent. Each document adds a row without a term for the statistics. The result is stored,
-    since frequencies, statistics and scores all read it.
+    Texts are dealt by key before they are read, so that occurrences meet the words of the queries, are counted
+    and gathered in one task, and only matching postings leave it. The result is stored, since frequencies and
+    scores read it.
     """
-    words = spellings(terms, docs, stemmed, lengths)
-    rows = term_rows(docs, key, lengths).withColumnRenamed("term", "word").join(persist_durably(words, "query-words"), "word")
+    words = persist_durably(spellings(terms, analysed(docs, key), stemmed, lengths), "query-words")
+    dealt = analysed(docs.repartition(*key), key)
+    rows = term_rows(dealt, key, lengths).withColumnRenamed("term", "word").join(words, "word")
     counted = rows.groupBy(*key, "dl", "term").agg(F.sum("weight").alias("f"))
-    sizes = docs.select(*key, "dl", F.lit("").alias("term"), F.lit(1.0).alias("f"))
-    both = persist_durably(counted.unionByName(sizes), "matching-postings")
-    stats = both.filter(F.col("term") == "").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    return both.filter(F.col("term") != ""), stats
+    matched = counted.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("dl", "term", "f"))).alias("matched"))
+    return persist_durably(matched, "matching-documents"), corpus_stats(analysed(docs, key))
 
 
 def weights(terms: DataFrame, n_docs: int, hits: DataFrame) -> DataFrame:
@@ -90,24 +89,34 @@ def weights(terms: DataFrame, n_docs: int, hits: DataFrame) -> DataFrame:
     return terms.join(df, "term").select("query_id", "term", (F.col("times") * floored).alias("weight"))
 
 
-def parts(terms: DataFrame, hits: DataFrame, stats: DataFrame, key: Sequence[str]) -> DataFrame:
-    """(query_id, key, term, part): BM25 of every matching term on its own."""
+def parts(terms: DataFrame, found: DataFrame, stats: DataFrame, key: Sequence[str], wanted: DataFrame | None = None) -> DataFrame:
+    """(query_id, key, term, part): BM25 of every matching term on its own, of found or only of wanted documents.
+
+    Postings are dealt by key once; what queries make of them stays in that task, and a sum by query and key
+    sends nothing."""
     size = stats.first()
+    hits = found.select(*key, F.inline("matched"))
     if not size.n_docs or not size.avgdl:  # nothing can match
         return hits.join(terms, "term").select("query_id", *key, "term", F.lit(0.0).alias("part")).filter(F.lit(False))
+    weighted = persist_durably(weights(terms, size.n_docs, hits), "query-weights")
     norm = K.BM25_K1 * (1 - K.BM25_B + K.BM25_B * F.col("dl") / size.avgdl)
     saturated = F.col("f") * (K.BM25_K1 + 1) / (F.col("f") + norm)
-    scored = hits.select(*key, "term", saturated.alias("part"))
-    joined = scored.join(weights(terms, size.n_docs, hits), "term")
+    dealt = (found if wanted is None else wanted).repartition(*key).select(*key, F.inline("matched"))
+    joined = dealt.select(*key, "term", saturated.alias("part")).join(weighted, "term")
     return joined.select("query_id", *key, "term", (F.col("weight") * F.col("part")).alias("part"))
 
 
 def bm25(queries: DataFrame, docs: DataFrame, key: Sequence[str] = ("subdir", "name"), stemmed: bool = False,
-         lengths: Sequence[int] = (1,)) -> DataFrame:
-    """Scores of all matching documents. ``docs`` holds the key, name, type, tags and content."""
+         lengths: Sequence[int] = (1,), k: int | None = None) -> DataFrame:
+    """Scores of all matching documents. ``docs`` holds the key, name, type, tags and content.
+
+    With ``k``, documents that cannot be among the best k of any query by (score, name, subdir) are left out before
+    they are scored: those with k earlier names among documents of the very same postings, which score alike."""
+    key = list(key)
     terms = persist_durably(query_terms(queries, stemmed), "query-terms")
-    hits, stats = matching_postings(analysed(docs, list(key)), terms, list(key), lengths, stemmed)
-    return parts(terms, hits, stats, list(key)).groupBy("query_id", *key).agg(F.sum("part").alias("score"))
+    found, stats = matching_documents(docs, terms, key, lengths, stemmed)
+    wanted = None if k is None else top_k(found, ["matched"], [F.col("name"), F.col("subdir")], k).drop("rank")
+    return parts(terms, found, stats, key, wanted).groupBy("query_id", *key).agg(F.sum("part").alias("score"))
 
 
 def ranked(scores: DataFrame, k: int) -> DataFrame:
@@ -121,8 +130,9 @@ def per_term_best(queries: DataFrame, docs: DataFrame, stemmed: bool = False, le
     not cut."""
     key = ["subdir", "name"]
     each = persist_durably(query_terms(queries, stemmed).withColumn("times", F.lit(1)), "query-terms")
-    hits, stats = matching_postings(analysed(docs, key), each, key, lengths, stemmed)
-    return parts(each, hits, stats, key).groupBy("query_id", "name").agg(F.max("part").alias("score"))
+    found, stats = matching_documents(docs, each, key, lengths, stemmed)
+    return parts(each, found, stats, key).groupBy("query_id", *key).agg(F.max("part").alias("score")).groupBy(
+        "query_id", "name").agg(F.max("score").alias("score"))
 
 
 # --- link expansion ------------------------------------------------------------------------
@@ -193,7 +203,7 @@ def search(queries: DataFrame, pages: DataFrame, k: int = K.TOP_K, expand: bool
 
 def search_docs(queries: DataFrame, docs: DataFrame, pages: DataFrame | None, k: int = K.TOP_K, expand: bool = True,
                 stemmed: bool = True, lengths: Sequence[int] = (1,)) -> DataFrame:
-    hits = persist_durably(ranked(bm25(queries, docs, stemmed=stemmed, lengths=lengths), 2 * k), "hits")
+    hits = persist_durably(ranked(bm25(queries, docs, stemmed=stemmed, lengths=lengths, k=2 * k), 2 * k), "hits")
     return finish(hits, pages, k, expand)
 
 

@@ -5,8 +5,11 @@ from pyspark.sql import functions as F
 
 from foliograph.functions import pages as P
 from foliograph.operators import lint, registry
+from foliograph.operators import retrieval as R
 from foliograph.plans import browse
 
+DOCS = "subdir string, name string, type string, tags string, content string"
+
 
 def _built(spark):
     """Pages whose text is put together row by row, as a derived wiki's is."""
@@ -15,6 +18,7 @@ def _built(spark):
     text = F.concat(front, F.lit("\n---\n\n# T\n\nA long enough paragraph about a tool of some kind.\n"))
     return spark.createDataFrame(rows, "subdir string, name string, i long").select("subdir", "name", text.alias("content"))
 
+
 @pytest.mark.parametrize("plan, used", [
     (lambda p: lint.frontmatter_issues(p), 1),
     (lambda p: lint.thin_pages(p), 1),
@@ -32,3 +36,23 @@ def test_field_value_reads_only_lines_that_hold_the_key(rows):
     text = "---\ntype: a\nsubtype: b\nnote: type: c\n type : d: e\ntypes\n---\n"
     (got,), = rows([(text,)], "c string", v=P.field_value(F.col("c"), "type"))
     assert got == "d: e"
+
+
+def test_scores_are_summed_where_a_document_lies(spark):
+    docs = spark.createDataFrame([("entities", f"N{i}", "", "", "red ring " * (i % 3 + 1)) for i in range(30)], DOCS)
+    queries = spark.createDataFrame([(1, "red"), (2, "ring red")], "query_id int, text string")
+    plan = R.bm25(queries, docs)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(subdir" in plan and "hashpartitioning(query_id" not in plan
+
+
+def test_best_of_alike_documents_are_the_best_of_all(spark):
+    texts = ["red ring", "red", "blue ring ring", "ring red red bolt", "bolt"]
+    rows = [(s, f"N{i % 23}", "", "", texts[i % 5]) for i in range(60) for s in ("entities", "concepts")]
+    docs = spark.createDataFrame([*rows, *rows[:7], (None, None, None, None, "red")], DOCS)
+    queries = spark.createDataFrame([(1, "red"), (2, "ring bolt"), (3, "red red ring"), (4, "none")], "query_id int, text string")
+    order = ["query_id", "subdir", "name", "rank"]
+
+    def cut(scores):
+        return sorted(str((*[r[c] for c in order], round(r.score, 9))) for r in R.ranked(scores, 3).collect())
+
+    assert cut(R.bm25(queries, docs, k=3)) == cut(R.bm25(queries, docs))
