@@ -69,12 +69,12 @@ def matching_documents(
 ) -> tuple[DataFrame, DataFrame]:
     """(key, matched: its postings of queried terms as (dl, term, f), in order), (corpus statistics as one row).
 
-    Texts are dealt by key before they are read, so that occurrences meet the words of the queries, are counted
-    and gathered in one task, and only matching postings leave it. The result is stored, since frequencies and
-    scores read it.
+    Texts are dealt by the last column of the key before they are read, so that occurrences meet the words of the
+    queries, are counted and gathered in one task, and only matching postings leave it. (The other columns may be
+    constants, by which Spark does not group.) The result is stored, since frequencies and scores read it.
     """
     words = persist_durably(spellings(terms, analysed(docs, key), stemmed, lengths), "query-words")
-    dealt = analysed(docs.repartition(*key), key)
+    dealt = analysed(docs.repartition(key[-1]), key)
     rows = term_rows(dealt, key, lengths).withColumnRenamed("term", "word").join(words, "word")
     counted = rows.groupBy(*key, "dl", "term").agg(F.sum("weight").alias("f"))
     matched = counted.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("dl", "term", "f"))).alias("matched"))
