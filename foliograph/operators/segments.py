@@ -5,9 +5,9 @@ segments it makes dead. A manifest file lists the segments of each version, with
 were built with; a version is readable only once its file is there. Segments of alike size are merged, dead
 rows left out, so their number stays logarithmic in the pages.
 
-Postings lie in blocks by term, impact level and slice of documents. A block knows its largest
-frequency and shortest document, which bound every score in it. A top-k query reads the bounds first,
-finds a score that k pages reach, and then reads only blocks that can hold a better page.
+Postings are rows sorted by term, impact level and slice of documents; those of one such place are a block. The header
+of a block has its largest frequency and shortest document, which bound every score in it. A top-k query reads the
+headers first, finds a score that k pages reach, and then reads only blocks that can hold a better page.
 Postings carry positions, so that a phrase is found where its words stand next to each other.
 """
 
@@ -38,9 +38,10 @@ TIER = 4  # segments of one size tier that are merged
 FIELD_STRIDE = 1 << 32  # positions of the next field begin here
 MARGIN = 1e-6  # scores are ranked by nine decimals
 
+MANIFEST_FOLDER = "manifest-rows"  # an index whose blocks hold their postings is not read, but built again
 MANIFEST = "version long, segment string, ord int, pages long, tokens long, slices int, buckets int, stemmed boolean, source long"
-POSTING = "array<struct<subdir:string,name:string,dl:long,f:double,positions:array<bigint>>>"
-BLOCKS = f"term string, level int, slice int, n int, max_f double, min_dl long, postings {POSTING}, bucket int"
+BLOCKS = "term string, level int, slice int, n int, max_f double, min_dl long, bucket int"
+POSTINGS = "term string, level int, slice int, subdir string, name string, dl long, f double, positions array<bigint>, bucket int"
 DOCS = "subdir string, name string, digest long, dl long, terms array<string>, links array<string>"
 DEAD = "segment string, subdir string, name string, dl long, terms array<string>"
 
@@ -73,15 +74,19 @@ def occurrences(tokens: DataFrame, stemmed: bool = False) -> DataFrame:
     return rows.groupBy(*KEY, "dl", "term").agg(F.sum("weight").alias("f"), F.sort_array(F.collect_list("place")).alias("positions"))
 
 
-def blocks_of(postings: DataFrame, slices: int, buckets: int, average: float) -> DataFrame:
-    """Postings in blocks by (term, level, slice). A block holds at most the pages of a slice."""
+def placed_postings(postings: DataFrame, slices: int, buckets: int, average: float) -> DataFrame:
+    """Postings with their block: (term, level, slice), and its storage bucket."""
     impact = saturation(F.col("f"), F.col("dl"), F.lit(average)) / (K.BM25_K1 + 1)
     level = F.least(F.floor((1 - impact) * LEVELS), F.lit(LEVELS - 1)).cast("int")
-    placed = postings.withColumns({"level": level, "slice": slice_of(F.lit(slices))})
-    return placed.groupBy("term", "level", "slice").agg(
-        F.count("*").cast("int").alias("n"), F.max("f").alias("max_f"), F.min("dl").alias("min_dl"),
-        F.collect_list(F.struct(*KEY, "dl", "f", "positions")).alias("postings"),
-    ).withColumn("bucket", bucket_of(F.col("term"), F.lit(buckets)))
+    placed = postings.withColumns({"level": level, "slice": slice_of(F.lit(slices)), "bucket": bucket_of(F.col("term"), F.lit(buckets))})
+    return placed.select("term", "level", "slice", *KEY, F.col("dl").cast("long").alias("dl"), "f", "positions", "bucket")
+
+
+def headers_of(placed: DataFrame) -> DataFrame:
+    """(term, level, slice, n, max_f, min_dl, bucket): one row per block. A block holds at most the pages of a slice."""
+    return placed.groupBy("bucket", "term", "level", "slice").agg(
+        F.count("*").cast("int").alias("n"), F.max("f").alias("max_f"), F.min("dl").alias("min_dl")
+    ).select("term", "level", "slice", "n", "max_f", "min_dl", "bucket")
 
 
 class SegmentIndex:
@@ -96,7 +101,7 @@ class SegmentIndex:
     def _listed(self) -> tuple[int, list[Row], int | None]:
         """Newest version, its segments, oldest first (at most a few dozen rows), and what it was synced with."""
         try:
-            rows = self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest")
+            rows = self.spark.read.schema(MANIFEST).parquet(f"{self.path}/{MANIFEST_FOLDER}")
             version = rows.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
         except AnalysisException as e:
             if not is_missing_path(e):
@@ -111,7 +116,7 @@ class SegmentIndex:
         version = self.version + 1
         rows = [(version, s.segment, i, s.pages, s.tokens, s.slices, s.buckets, s.stemmed, self.source) for i, s in enumerate(segments)]
         rows = rows or [(version, *[None] * 7, self.source)]
-        self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+        self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/{MANIFEST_FOLDER}")
         self.version, self.segments, self.source = self._listed()
 
     def _folder(self, segment: str, table: str) -> str:
@@ -166,16 +171,19 @@ class SegmentIndex:
             self._publish(self.segments)
 
     def _written(self, name: str, postings: DataFrame) -> Row:
-        """Write the blocks of a segment whose docs are written; its manifest row."""
+        """Write postings and block headers of a segment whose docs are written; its manifest row."""
         sizes = self.spark.read.schema(DOCS).parquet(self._folder(name, "docs")).agg(
             F.count("*").alias("pages"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")
         ).first()
         slices = max(1, -(-sizes.pages // self.slice_pages))
         buckets = max(1, -(-sizes.tokens // BUCKET_TOKENS))
         average = sizes.tokens / sizes.pages if sizes.tokens else 1.0
-        blocks = blocks_of(postings, slices, buckets, average)
-        ranged = blocks.repartitionByRange("bucket", "term", "level", "slice").sortWithinPartitions("bucket", "term", "level")
-        ranged.write.partitionBy("bucket").parquet(self._folder(name, "blocks"))
+        # Keys are part of the order, so that the postings of a frequent term are many tasks' work.
+        placed = placed_postings(postings, slices, buckets, average)
+        ranged = placed.repartitionByRange("bucket", "term", "level", "slice", *KEY).sortWithinPartitions("bucket", "term", "level", "slice")
+        ranged.write.partitionBy("bucket").parquet(self._folder(name, "postings"))
+        headers = headers_of(self.spark.read.schema(POSTINGS).parquet(self._folder(name, "postings")))
+        headers.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(self._folder(name, "blocks"))
         return Row(segment=name, ord=0, pages=sizes.pages, tokens=sizes.tokens, slices=slices, buckets=buckets, stemmed=self.stemmed)
 
     def compact(self) -> None:
@@ -205,7 +213,7 @@ class SegmentIndex:
         # What the members made dead in segments that stay.
         kills = self._union("dead", DEAD, run).filter(~F.col("segment").isin(members))
         kills.drop("of").write.parquet(self._folder(name, "dead"))
-        rows = self._union("blocks", BLOCKS, run).select("of", "term", F.inline("postings"))
+        rows = self._union("postings", POSTINGS, run)
         live = rows.join(dead, ["of", *KEY], "left_anti").select(*KEY, "dl", "term", "f", "positions")
         return self._written(name, live)
 
@@ -228,15 +236,22 @@ class SegmentIndex:
         return Row(n_docs=pages, avgdl=tokens / pages if tokens else 1.0)
 
     def blocks(self, terms: DataFrame) -> DataFrame:
-        """Blocks of the given (distinct) terms, with their segment; other storage buckets are not read."""
+        """Block headers of the given (distinct) terms, with their segment; other storage buckets are not read."""
+        return self._of_terms("blocks", BLOCKS, terms)
+
+    def entries(self, terms: DataFrame) -> DataFrame:
+        """(of, term, level, slice, key, dl, f, positions): postings of the given (distinct) terms, dead ones too."""
+        return self._of_terms("postings", POSTINGS, terms)
+
+    def _of_terms(self, table: str, schema: str, terms: DataFrame) -> DataFrame:
         parts = []
         for s in self.segments:
             wanted = terms.select("term", bucket_of(F.col("term"), F.lit(s.buckets)).alias("in_bucket"))
-            read = self.spark.read.schema(BLOCKS).parquet(self._folder(s.segment, "blocks"))
+            read = self.spark.read.schema(schema).parquet(self._folder(s.segment, table))
             if s.buckets > 1:
                 read = read.filter(F.col("bucket").isin([r[0] for r in wanted.select("in_bucket").distinct().collect()]))
             parts.append(read.join(wanted.drop("in_bucket"), "term").drop("bucket").withColumn("of", F.lit(s.segment)))
-        schema = f"{BLOCKS.rsplit(',', 1)[0]}, of string"
+        schema = f"{schema.rsplit(',', 1)[0]}, of string"
         return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], schema)
 
     def live(self, postings: DataFrame) -> DataFrame:
@@ -253,8 +268,7 @@ class SegmentIndex:
 
     def postings(self) -> DataFrame:
         """(key, dl, term, f, positions) of all live pages."""
-        rows = self._union("blocks", BLOCKS).select("of", "term", F.inline("postings"))
-        return self.live(rows).drop("of")
+        return self.live(self._union("postings", POSTINGS)).select(*KEY, "dl", "term", "f", "positions")
 
 
 # --- search ----------------------------------------------------------------------------------
@@ -267,8 +281,8 @@ def field_weight(place: Column) -> Column:
 def phrase_postings(index: SegmentIndex, phrases: DataFrame) -> DataFrame:
     """(of, key, dl, term, f) of phrases (distinct terms of several words): places where their words are adjacent."""
     words = phrases.select("term", F.size(F.split("term", " ")).alias("words"), F.posexplode(F.split("term", " ")).alias("i", "word"))
-    blocks = index.blocks(words.select(F.col("word").alias("term")).distinct()).withColumnRenamed("term", "word")
-    rows = blocks.select("of", "word", F.inline("postings")).join(words, "word")
+    entries = index.entries(words.select(F.col("word").alias("term")).distinct()).withColumnRenamed("term", "word")
+    rows = entries.select("of", "word", *KEY, "dl", "f", "positions").join(words, "word")
     # Pages that hold every word of a phrase; only their positions are compared.
     whole = rows.groupBy("term", "of", *KEY).agg(F.count("*").alias("n"), F.first("words").alias("words")).filter("n = words")
     starts = rows.join(whole.select("term", "of", *KEY), ["term", "of", *KEY], "left_semi").select(
@@ -290,7 +304,7 @@ def bounds(index: SegmentIndex, queries: DataFrame, terms: DataFrame) -> tuple[D
     stats = index.stats()
     single = terms.filter(~F.contains("term", F.lit(" ")))
     vocabulary = persist_durably(single.select("term").distinct(), "vocabulary")
-    headers = persist_durably(index.blocks(vocabulary).drop("postings"), "block-bounds")
+    headers = persist_durably(index.blocks(vocabulary), "block-bounds")
     df = index.document_frequency(vocabulary, headers)
     weighted = single.join(df, "term").select("query_id", "term", (F.col("times") * _idf(F.col("df"), stats.n_docs)).alias("weight"))
     bound = F.col("weight") * saturation(F.col("max_f"), F.col("min_dl"), F.lit(stats.avgdl))
@@ -309,9 +323,8 @@ def bounds(index: SegmentIndex, queries: DataFrame, terms: DataFrame) -> tuple[D
 def _parts(index: SegmentIndex, chosen: DataFrame, average: float) -> DataFrame:
     """(query_id, of, key, part) of the postings of chosen (query_id, of, term, level, slice, weight)."""
     names = persist_durably(chosen.select("of", "term", "level", "slice").distinct(), "chosen-blocks")
-    read = index.blocks(names.select("term").distinct()).join(names, ["of", "term", "level", "slice"], "left_semi")
-    rows = read.select("of", "term", "level", "slice", F.explode("postings").alias("p"))
-    rows = index.live(rows.select("of", "term", "level", "slice", "p.subdir", "p.name", "p.dl", "p.f"))
+    read = index.entries(names.select("term").distinct()).join(names, ["of", "term", "level", "slice"], "left_semi")
+    rows = index.live(read.select("of", "term", "level", "slice", *KEY, "dl", "f"))
     part = F.col("weight") * saturation(F.col("f"), F.col("dl"), F.lit(average))
     return rows.join(chosen, ["of", "term", "level", "slice"]).select("query_id", "of", *KEY, part.alias("part"))
 

@@ -109,3 +109,12 @@ def test_deleting_all_pages(spark, tmp_path):
     assert index.stats().n_docs == 0 and S.search(asked, index).collect() == []
     index.commit(one)
     assert [r.name for r in S.search(asked, index).collect()] == ["A"]
+
+
+def test_a_frequent_term_is_many_stored_rows(spark, tmp_path):
+    """Postings of a block are rows of their own, so that a reader's batch holds few of them."""
+    index = S.SegmentIndex(spark, str(tmp_path), False)
+    index.commit(spark.createDataFrame([("entities", f"P{i}", "common") for i in range(300)], SCHEMA))
+    term = spark.createDataFrame([("common",)], "term string")
+    assert index.entries(term).count() == 300
+    assert [r.n for r in index.blocks(term).collect()] == [300]
