@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from foliograph import constants as K
@@ -18,7 +18,7 @@ from foliograph.operators import graph
 from foliograph.operators.grouping import top_k
 from foliograph.session import persist_durably
 from foliograph.functions.porter import stems
-from foliograph.operators.index import analysed, corpus_stats, plain_tokens, postings, restemmed, searchable, term_rows
+from foliograph.operators.index import analysed, plain_tokens, postings, restemmed, searchable, term_rows
 
 
 def query_terms(queries: DataFrame, stemmed: bool = False) -> DataFrame:
@@ -66,19 +66,25 @@ def spellings(terms: DataFrame, docs: DataFrame, stemmed: bool, lengths: Sequenc
 
 def matching_documents(
     docs: DataFrame, terms: DataFrame, key: Sequence[str], lengths: Sequence[int] = (1,), stemmed: bool = False
-) -> tuple[DataFrame, DataFrame]:
-    """(key, matched: its postings of queried terms as (dl, term, f), in order), (corpus statistics as one row).
+) -> tuple[DataFrame, Row]:
+    """(key, matched: its postings of queried terms as (dl, term, f), in order), (n_docs, avgdl).
 
     Texts are dealt by the last column of the key before they are read, so that occurrences meet the words of the
     queries, are counted and gathered in one task, and only matching postings leave it. (The other columns may be
-    constants, by which Spark does not group.) The result is stored, since frequencies and scores read it.
+    constants, by which Spark does not group.) The result is stored, since frequencies and scores read it; the
+    corpus is counted and measured on the way.
     """
-    words = persist_durably(spellings(terms, analysed(docs, key), stemmed, lengths), "query-words")
+    mark = docs.sparkSession.createDataFrame([("", "")], "word string, term string")  # what every text holds once
+    words = persist_durably(spellings(terms, analysed(docs, key), stemmed, lengths).unionByName(mark), "query-words")
     dealt = analysed(docs.repartition(key[-1]), key)
-    rows = term_rows(dealt, key, lengths).withColumnRenamed("term", "word").join(words, "word")
+    rows = term_rows(dealt, key, lengths, marked=True).withColumnRenamed("term", "word").join(words, "word")
     counted = rows.groupBy(*key, "dl", "term").agg(F.sum("weight").alias("f"))
     matched = counted.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("dl", "term", "f"))).alias("matched"))
-    return persist_durably(matched, "matching-documents"), corpus_stats(analysed(docs, key))
+    stored = persist_durably(matched, "matching-documents")
+    marks = stored.select(F.inline(F.filter("matched", lambda m: m["term"] == "")))
+    stats = marks.agg(F.sum("f").cast("long").alias("n_docs"), (F.sum(F.col("dl") * F.col("f")) / F.sum("f")).alias("avgdl")).first()
+    found = stored.withColumn("matched", F.filter("matched", lambda m: m["term"] != ""))
+    return found.filter(F.size("matched") > 0), stats
 
 
 def weights(terms: DataFrame, n_docs: int, hits: DataFrame) -> DataFrame:
@@ -89,17 +95,16 @@ def weights(terms: DataFrame, n_docs: int, hits: DataFrame) -> DataFrame:
     return terms.join(df, "term").select("query_id", "term", (F.col("times") * floored).alias("weight"))
 
 
-def parts(terms: DataFrame, found: DataFrame, stats: DataFrame, key: Sequence[str], wanted: DataFrame | None = None) -> DataFrame:
+def parts(terms: DataFrame, found: DataFrame, stats: Row, key: Sequence[str], wanted: DataFrame | None = None) -> DataFrame:
     """(query_id, key, term, part): BM25 of every matching term on its own, of found or only of wanted documents.
 
     Postings are dealt by key once; what queries make of them stays in that task, and a sum by query and key
     sends nothing."""
-    size = stats.first()
     hits = found.select(*key, F.inline("matched"))
-    if not size.n_docs or not size.avgdl:  # nothing can match
+    if not stats.n_docs or not stats.avgdl:  # nothing can match
         return hits.join(terms, "term").select("query_id", *key, "term", F.lit(0.0).alias("part")).filter(F.lit(False))
-    weighted = persist_durably(weights(terms, size.n_docs, hits), "query-weights")
-    norm = K.BM25_K1 * (1 - K.BM25_B + K.BM25_B * F.col("dl") / size.avgdl)
+    weighted = persist_durably(weights(terms, stats.n_docs, hits), "query-weights")
+    norm = K.BM25_K1 * (1 - K.BM25_B + K.BM25_B * F.col("dl") / stats.avgdl)
     saturated = F.col("f") * (K.BM25_K1 + 1) / (F.col("f") + norm)
     dealt = (found if wanted is None else wanted).repartition(*key).select(*key, F.inline("matched"))
     joined = dealt.select(*key, "term", saturated.alias("part")).join(weighted, "term")
@@ -115,10 +120,19 @@ def bm25(queries: DataFrame, docs: DataFrame, key: Sequence[str] = ("subdir", "n
     key = list(key)
     terms = persist_durably(query_terms(queries, stemmed), "query-terms")
     found, stats = matching_documents(docs, terms, key, lengths, stemmed)
-    wanted = None if k is None else top_k(found, ["matched"], [F.col("name"), F.col("subdir")], k).drop("rank")
+    wanted = None if k is None else first_alike(found, k)
     return parts(terms, found, stats, key, wanted).groupBy("query_id", *key).agg(F.sum("part").alias("score"))
 
 
+def first_alike(found: DataFrame, k: int) -> DataFrame:
+    """The first k by name of documents with the very same postings. These are compared as one text after its hash, since
+    arrays are compared item by item."""
+    entry = lambda m: F.concat_ws("\t", m["dl"], m["f"], m["term"])
+    alike = found.withColumn("alike", F.concat_ws("\n", F.transform("matched", entry)))
+    order = [F.col("name"), F.col("subdir")]
+    return top_k(alike.withColumn("hash", F.xxhash64("alike")), ["hash", "alike"], order, k).drop("rank", "hash", "alike")
+
+
 def ranked(scores: DataFrame, k: int) -> DataFrame:
     """(query_id, subdir, name, score, rank): best ``k`` page files of every query."""
     order = [F.round("score", 9).desc(), F.col("name"), F.col("subdir")]

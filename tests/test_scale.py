@@ -7,6 +7,7 @@ from foliograph.functions import pages as P
 from foliograph.operators import lint, registry
 from foliograph.operators import retrieval as R
 from foliograph.plans import browse
+from foliograph.session import spread
 
 DOCS = "subdir string, name string, type string, tags string, content string"
 
@@ -56,3 +57,24 @@ def test_best_of_alike_documents_are_the_best_of_all(spark):
         return sorted(str((*[r[c] for c in order], round(r.score, 9))) for r in R.ranked(scores, 3).collect())
 
     assert cut(R.bm25(queries, docs, k=3)) == cut(R.bm25(queries, docs))
+
+
+def test_tasks_follow_the_stored_size(spark, tmp_path):
+    spark.range(40000).selectExpr("id", "sha2(string(id), 256) AS v").coalesce(1).write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(stored).rdd.getNumPartitions() == cores
+    assert spread(stored, 100_000).rdd.getNumPartitions() > 2 * cores
+    assert spread(stored, 100_000).count() == 40000
+
+
+def test_texts_are_read_once_for_scores_and_corpus_figures(spark):
+    """Texts without a match, repeated ones and null ones count in the figures."""
+    rows = [("entities", f"N{i}", "", "", text) for i, text in enumerate(["red ring", "blue bolt bolt", None, "red"])]
+    docs = spark.createDataFrame([*rows, rows[0]], DOCS)
+    queries = spark.createDataFrame([(1, "red"), (2, "none")], "query_id int, text string")
+    found, stats = R.matching_documents(docs, R.query_terms(queries), ["subdir", "name"])
+    assert {r.name: [tuple(m) for m in r.matched] for r in found.collect()} == {"N0": [(3, "red", 2.0)], "N3": [(2, "red", 1.0)]}
+    assert (stats.n_docs, stats.avgdl) == (5, (3 + 4 + 1 + 2 + 3) / 5)
+    none, stats = R.matching_documents(docs.limit(0), R.query_terms(queries), ["subdir", "name"])
+    assert none.collect() == [] and not stats.n_docs
