@@ -16,12 +16,20 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+    # Shuffled page rows grow tenfold when they are read; a task gets few MB of them, however many there are.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Rows can hold a long text or its words: few at a time from files and to Python.
+    "spark.sql.parquet.columnarReaderBatchSize": "512",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
 }
 
 
+SPLIT_BYTES = 2 << 20  # of a stored table whose rows grow into page texts, in a task
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session someone else built."""
     for key, value in RUNTIME_SETTINGS.items():
@@ -95,7 +103,10 @@ def persist_durably(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input with fewer splits than cores (a small input by definition)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame, split_bytes: int | None = None) -> DataFrame:
+    """Use all cores on an input with fewer splits than cores, and with ``split_bytes`` as many tasks as its stored size asks for."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    if split_bytes is not None:
+        stored = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        tasks = max(tasks, -(-stored // split_bytes))
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from foliograph.session import spread
+from foliograph.session import SPLIT_BYTES, spread
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -233,8 +233,8 @@ _SOURCES_OF = {
 }
 
 
-# Tables whose rows grow into long texts: worth spreading when they come in few splits.
-_TEXT_HEAVY = ("orders", "customer", "part", "documents", "pages", "conversations")
+# Tables whose rows grow into long texts or many keys: worth spreading when they come in few splits.
+_GROWING = ("orders", "customer", "supplier", "part")
 
 
 _KNOWN_SCHEMAS: dict[str, StructType] = {}
@@ -252,8 +252,7 @@ def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived relation as a Spark plan over the tables it needs."""
     text = _SOURCES_OF[name]
     used = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in text}
-    if name == "wiki":
-        used = {t: spread(df) if t in _TEXT_HEAVY else df for t, df in used.items()}
+    used = {t: spread(df, SPLIT_BYTES) if t in _GROWING else df for t, df in used.items()}
     return spark.sql(text.replace("{hash}", "sha2('order ' || o_orderkey, 256)"), **used)
 
 
