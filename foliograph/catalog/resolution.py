@@ -193,9 +193,7 @@ def _(t):
 
 
 def _early(t, use_embeddings=False):
-    meta = resolve.page_meta(t.wiki)
-    base = resolve.with_existing(resolve.anchored(t.mentions, _entries(t), meta), meta)
-    return resolve.early_stages(base, use_embeddings)
+    return resolve.early_rows(t.mentions, t.wiki, _entries(t), use_embeddings)
 
 
 def _cache(t, early):
@@ -235,7 +233,7 @@ _FINAL = "split_part(final, '|', 1) AS action, CAST(split_part(final, '|', 2) AS
 
 
 def _resolved(t):
-    return resolve.resolve(t.mentions, t.wiki, _entries(t), _cache(t, _early(t)))
+    return resolve.resolve(t.mentions, t.wiki, _entries(t), lambda early: _cache(t, early))
 
 
 @query(
