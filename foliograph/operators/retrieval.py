@@ -18,7 +18,7 @@ from foliograph.operators import graph
 from foliograph.operators.grouping import top_k
 from foliograph.session import persist_durably
 from foliograph.functions.porter import stems
-from foliograph.operators.index import analysed, plain_tokens, postings, restemmed, searchable, term_rows
+from foliograph.operators.index import analysed, occurrences, plain_tokens, postings, restemmed, searchable
 
 
 def query_terms(queries: DataFrame, stemmed: bool = False) -> DataFrame:
@@ -74,10 +74,10 @@ def matching_documents(
     constants, by which Spark does not group.) The result is stored, since frequencies and scores read it; the
     corpus is counted and measured on the way.
     """
-    mark = docs.sparkSession.createDataFrame([("", "")], "word string, term string")  # what every text holds once
+    mark = docs.sparkSession.range(1).select(F.lit("").alias("word"), F.lit("").alias("term"))  # what every text holds once
     words = persist_durably(spellings(terms, analysed(docs, key), stemmed, lengths).unionByName(mark), "query-words")
     dealt = analysed(docs.repartition(key[-1]), key)
-    rows = term_rows(dealt, key, lengths, marked=True).withColumnRenamed("term", "word").join(words, "word")
+    rows = occurrences(dealt, key, words, lengths).join(words, "word")
     counted = rows.groupBy(*key, "dl", "term").agg(F.sum("weight").alias("f"))
     matched = counted.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("dl", "term", "f"))).alias("matched"))
     stored = persist_durably(matched, "matching-documents")

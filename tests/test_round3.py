@@ -1,8 +1,8 @@
-"""Joins and stages that must not repeat work or gather rows in one task."""
+"""Joins and stages that must not repeat work or gather rows in one task, and phrase matching without phrase rows."""
 
 from pyspark.sql import functions as F
 
-from foliograph.operators import resolve
+from foliograph.operators import index, resolve
 from foliograph.operators.grouping import left_join
 
 
@@ -58,3 +58,15 @@ def test_resolve_hands_the_early_rows_to_a_cache_function(spark):
     )
     done = resolve.resolve(items, pages, entries, lambda early: early.select("key", F.lit(True).alias("verdict")).filter("key IS NOT NULL"))
     assert [(r.action, r.stage, r.resolved_name) for r in done.collect()] == [("merge", 4, "Pump")]
+
+
+def test_occurrences_of_words_and_phrases(spark):
+    docs = spark.createDataFrame(
+        [("a", "x y x y z", "", "", "y"), ("b", "", "", "", "")], "name string, content string, type string, tags string, extra string"
+    )
+    read = index.analysed(docs.withColumn("name", F.col("name")), ["name"])
+    words = spark.createDataFrame([("x y",), ("y",), ("y x y",), ("z x",), ("",), ("x y x y",)], "word string")
+    found = index.occurrences(read, ["name"], words, [1, 2, 3])
+    got = sorted((r.name, r.word, r.n) for r in found.join(words, "word").groupBy("name", "word").agg(F.count("*").alias("n")).collect())
+    assert got == [("a", "", 1), ("a", "x y", 2), ("a", "y", 2), ("a", "y x y", 1), ("b", "", 1)]
+    assert "zip_with" not in found._jdf.queryExecution().optimizedPlan().toString()
