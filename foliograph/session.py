@@ -24,6 +24,7 @@ RUNTIME_SETTINGS = {
     # Rows can hold a long text or its words: few at a time from files and to Python.
     "spark.sql.parquet.columnarReaderBatchSize": "512",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
 }
 
 

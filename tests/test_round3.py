@@ -1,5 +1,6 @@
 """Joins and stages that must not repeat work or gather rows in one task, and phrase matching without phrase rows."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from foliograph.operators import index, resolve
@@ -70,3 +71,14 @@ def test_occurrences_of_words_and_phrases(spark):
     got = sorted((r.name, r.word, r.n) for r in found.join(words, "word").groupBy("name", "word").agg(F.count("*").alias("n")).collect())
     assert got == [("a", "", 1), ("a", "x y", 2), ("a", "y", 2), ("a", "y x y", 1), ("b", "", 1)]
     assert "zip_with" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_batches_for_python_are_bounded_in_bytes(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "size": [batch.nbytes]})
+
+    texts = spark.range(300).select(F.repeat(F.lit("x"), 200_000).alias("text")).coalesce(1)
+    got = texts.mapInArrow(sizes, "rows long, size long").collect()
+    assert sum(r.rows for r in got) == 300
+    assert max(r.size for r in got) < 8 << 20
