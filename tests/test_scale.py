@@ -7,7 +7,8 @@ from foliograph.functions import pages as P
 from foliograph.operators import lint, registry
 from foliograph.operators import retrieval as R
 from foliograph.plans import browse
-from foliograph.session import spread
+from foliograph.session import grow_shuffles, spread, stored_bytes
+from foliograph.sources import derived
 
 DOCS = "subdir string, name string, type string, tags string, content string"
 
@@ -78,3 +79,21 @@ def test_texts_are_read_once_for_scores_and_corpus_figures(spark):
     assert (stats.n_docs, stats.avgdl) == (5, (3 + 4 + 1 + 2 + 3) / 5)
     none, stats = R.matching_documents(docs.limit(0), R.query_terms(queries), ["subdir", "name"])
     assert none.collect() == [] and not stats.n_docs
+
+
+def test_shuffles_follow_the_stored_size(spark, tmp_path, monkeypatch):
+    """Parts of an aggregate, which AQE does not split, are as many as the stored tables ask for, and never fewer than set."""
+    key, parts = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.range(100_000).selectExpr("id AS n_nationkey", "sha2(string(id), 256) AS n_name", "id AS n_regionkey").write.parquet(str(tmp_path / "nation.parquet"))
+    monkeypatch.setattr(derived, "_GROWING", ("nation",))
+    monkeypatch.setattr("foliograph.session.SHUFFLE_BYTES", 100_000)
+    wanted = -(-stored_bytes(derived.table(spark, str(tmp_path), "nation")) // 100_000)
+    try:
+        rows = derived.relation(spark, str(tmp_path), "questions")
+        assert wanted > 2 * parts and spark.conf.get(key) == str(wanted)
+        plan = rows.groupBy("text").count()._jdf.queryExecution().executedPlan().toString()
+        assert f", {wanted})" in plan
+        grow_shuffles(spark, 1)
+        assert spark.conf.get(key) == str(wanted)
+    finally:
+        spark.conf.unset(key)
