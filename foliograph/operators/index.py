@@ -20,11 +20,12 @@ def plain_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def searchable(pages: DataFrame) -> DataFrame:
-    """The four indexed fields of every page, one row per page file (outer blanks hold no tokens)."""
+def searchable(pages: DataFrame, *keep: Column) -> DataFrame:
+    """The four indexed fields of every page, one row per page file (outer blanks hold no tokens); ``keep`` are more columns."""
     return pages.select(
         "subdir",
         "name",
+        *keep,
         P.searched_type(F.col("content")).alias("type"),
         P.searched_tags(F.col("content")).alias("tags"),
         P.raw_body(F.col("content")).alias("content"),
@@ -79,6 +80,7 @@ def occurrences(docs: DataFrame, keys: Sequence[str], words: DataFrame, phrase_l
     each = docs.select(*keys, "dl", F.inline(fields)).select(*keys, "dl", "weight", "tokens", F.posexplode("tokens").alias("at", "first"))
     longest = F.slice("tokens", F.col("at") + 1, F.lit(max(phrase_lengths)))
     found = each.select(*keys, "dl", "weight", "first", longest.alias("ahead")).join(heads, "first")
+    found = found.filter(F.size("ahead") >= F.col("n"))  # fewer words are left at the end of a field
     word = F.when(F.col("n") == 1, F.col("first")).otherwise(F.array_join(F.slice("ahead", F.lit(1), F.col("n")), " "))
     return found.select(*keys, "dl", word.alias("word"), "weight")
 

@@ -99,3 +99,13 @@ def test_postings_count_every_token(spark):
     assert got == {"a": 10.0, "b": 10.0 + 3.0 + 5.0 + 2.0, "c": 1.0}
     assert Counter(got)["zz"] == 0
     assert docs.select(F.size(index.grams(F.split("content", " "), 2)).alias("n")).first().n == 3
+
+
+def test_a_phrase_is_not_found_past_the_end_of_a_field(spark):
+    """The first word of a phrase at the end of a text is no phrase, and does not count once more as that word."""
+    docs = [("entities", "A", "tool", "x", "note kv"), ("entities", "B", "tool", "x", "kv note"), ("entities", "C", "tool", "x", "kv cache")]
+    df = spark.createDataFrame(docs, "subdir string, name string, type string, tags string, content string")
+    words = spark.createDataFrame([("kv",), ("kv cache",)], "word string")
+    found = index.occurrences(index.analysed(df, ["name"]), ["name"], words, [1, 2])
+    got = sorted((r.name, r.word) for r in found.filter("word <> ''").collect())
+    assert got == [("A", "kv"), ("B", "kv"), ("B", "kv note"), ("C", "kv"), ("C", "kv cache")]
