@@ -5,8 +5,9 @@ segments it makes dead. A manifest file lists the segments of each version, with
 were built with; a version is readable only once its file is there. Segments of alike size are merged, dead
 rows left out, so their number stays logarithmic in the pages.
 
-Postings are rows sorted by term, impact level and slice of documents; those of one such place are a block. The header
-of a block has its largest frequency and shortest document, which bound every score in it. A top-k query reads the
+The terms of a page are counted and placed inside its row. Rows of pages are dealt by slice, and only then become
+postings: rows sorted by storage bucket, term, impact level and slice of documents; those of one such place are a block,
+and lie in one file. The header of a block has its largest frequency and shortest document, which bound every score in it. A top-k query reads the
 headers first, finds a score that k pages reach, and then reads only blocks that can hold a better page.
 Postings carry positions, so that a phrase is found where its words stand next to each other.
 """
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from foliograph import constants as K
 from foliograph.functions import pages as P
 from foliograph.functions.porter import stems
+from foliograph.functions.text import computed, let
 from foliograph.operators.graph import subdir_rank
 from foliograph.operators.grouping import top_k
 from foliograph.operators.index import FIELDS, analysed, searchable
@@ -33,7 +35,8 @@ from foliograph.session import is_missing_path, persist_durably
 KEY = ("subdir", "name")
 LEVELS = 16
 SLICE_PAGES = 4096  # pages in a slice, on average
-BUCKET_TOKENS = 1 << 22  # tokens in a storage bucket, on average
+BUCKET_TOKENS = 1 << 16  # tokens in a storage bucket, on average; files are sorted by bucket, so that readers skip to theirs
+TASK_TOKENS = 1 << 20  # tokens that a task sorts and writes, on average
 TIER = 4  # segments of one size tier that are merged
 FIELD_STRIDE = 1 << 32  # positions of the next field begin here
 MARGIN = 1e-6  # scores are ranked by nine decimals
@@ -51,6 +54,10 @@ def saturation(f: Column, dl: Column, average: Column) -> Column:
     return f * (K.BM25_K1 + 1) / (f + K.BM25_K1 * (1 - K.BM25_B + K.BM25_B * dl / average))
 
 
+def field_weight(place: Column) -> Column:
+    return F.get(F.array(*[F.lit(K.BM25_WEIGHTS[f]) for f in FIELDS]), F.floor(place / FIELD_STRIDE).cast("int"))
+
+
 def slice_of(slices: Column) -> Column:
     return F.pmod(F.xxhash64(*KEY), slices).cast("int")
 
@@ -59,27 +66,52 @@ def bucket_of(term: Column, buckets: Column) -> Column:
     return F.pmod(F.xxhash64(term), buckets).cast("int")
 
 
-def occurrences(tokens: DataFrame, stemmed: bool = False) -> DataFrame:
-    """(key, dl, term, f, positions) of analysed pages: one row per page and term. Stems are found once for each
-    distinct word and joined to the occurrences."""
+def page_entries(tokens: DataFrame, *keep: str) -> DataFrame:
+    """(key, dl, keep, postings: (term, f, positions) in order of terms) of analysed pages: one row per page.
 
-    def placed(field: str) -> Column:
-        first, weight = F.lit(FIELDS.index(field) * FIELD_STRIDE), F.lit(K.BM25_WEIGHTS[field])
-        return F.transform(f"t_{field}", lambda t, i: F.struct(t.alias("term"), (i + first).alias("place"), weight.alias("weight")))
+    The places of a page's words are sorted inside the row; a term's are those up to the next term."""
 
-    rows = tokens.select(*KEY, "dl", F.inline(F.concat(*map(placed, FIELDS))))
+    def placed(field: str) -> Column:
+        first = F.lit(FIELDS.index(field) * FIELD_STRIDE).cast("long")
+        return F.transform(f"t_{field}", lambda t, i: F.struct(t.alias("term"), (i + first).alias("place")))
+
+    def weighed(places: Column) -> Column:
+        last = F.lit((len(FIELDS) - 1) * FIELD_STRIDE)
+        alike = F.size(places) * F.lit(K.BM25_WEIGHTS[FIELDS[-1]])  # all in the last field
+        return F.when(F.get(places, F.lit(0)) >= last, alike).otherwise(
+            F.aggregate(places, F.lit(0.0), lambda total, place: total + field_weight(place))
+        )
+
+    def entries(words: Column) -> Column:
+        new = F.transform(words, lambda w, i: F.when((i == 0) | (F.get(words, i - 1)["term"] != w["term"]), i))
+        return let(F.filter(new, lambda i: i.isNotNull()), lambda starts: let(words["place"], lambda places: F.transform(
+            starts, lambda at, i: let(
+                F.slice(places, at + 1, F.coalesce(F.get(starts, i + 1), F.size(words)) - at),
+                lambda own: F.struct(F.get(words, at)["term"].alias("term"), weighed(own).alias("f"), own.alias("positions")),
+            ),
+        )))
+
+    words = F.sort_array(F.concat(*map(placed, FIELDS)))
+    return tokens.select(*KEY, F.col("dl").cast("long").alias("dl"), *keep, let(words, entries).alias("postings"))
+
+
+def regrouped(entries: DataFrame, stemmed: bool = False) -> DataFrame:
+    """(key, dl, postings) of page entries whose terms become their stems, or whose keys repeat: pages of one key and length
+    are one. Stems are found once for each distinct word and joined to the words of pages."""
+    rows = entries.select(*KEY, "dl", F.inline("postings"))
     if stemmed:
         known = stems(rows.select(F.col("term").alias("word")))
         rows = rows.join(known.withColumnRenamed("word", "term"), "term").withColumn("term", F.col("stem"))
-    return rows.groupBy(*KEY, "dl", "term").agg(F.sum("weight").alias("f"), F.sort_array(F.collect_list("place")).alias("positions"))
+    places = F.sort_array(F.flatten(F.collect_list("positions")))
+    rows = rows.groupBy(*KEY, "dl", "term").agg(F.sum("f").alias("f"), places.alias("positions"))
+    return rows.groupBy(*KEY, "dl").agg(F.collect_list(F.struct("term", "f", "positions")).alias("postings"))
 
 
-def placed_postings(postings: DataFrame, slices: int, buckets: int, average: float) -> DataFrame:
-    """Postings with their block: (term, level, slice), and its storage bucket."""
+def placed_postings(postings: DataFrame, buckets: int, average: float) -> DataFrame:
+    """Postings of slices with their block: (term, level, slice), and its storage bucket."""
     impact = saturation(F.col("f"), F.col("dl"), F.lit(average)) / (K.BM25_K1 + 1)
     level = F.least(F.floor((1 - impact) * LEVELS), F.lit(LEVELS - 1)).cast("int")
-    placed = postings.withColumns({"level": level, "slice": slice_of(F.lit(slices)), "bucket": bucket_of(F.col("term"), F.lit(buckets))})
-    return placed.select("term", "level", "slice", *KEY, F.col("dl").cast("long").alias("dl"), "f", "positions", "bucket")
+    return postings.withColumns({"level": level, "bucket": bucket_of(F.col("term"), F.lit(buckets))})
 
 
 def headers_of(placed: DataFrame) -> DataFrame:
@@ -136,23 +168,40 @@ class SegmentIndex:
         """Add or replace pages (subdir, name, content; one row per key) and delete others (subdir, name) as one
         new version. Only the new segment is written; sizes then decide on merges."""
         empty = self.spark.createDataFrame([], "subdir string, name string, content string")
-        pages = persist_durably((pages if pages is not None else empty).select(*KEY, "content"), "index-pages")
-        gone = pages.select(*KEY)
+        pages = (pages if pages is not None else empty).select(*KEY, computed(F.col("content")).alias("content"))
+        fields = searchable(pages, F.xxhash64("content").alias("digest"), P.link_targets(F.col("content")).alias("links"))
+        # One pass over the texts: what is stored are the words of each page.
+        read = persist_durably(page_entries(analysed(fields, [*KEY, "digest", "links"]), "digest", "links"), "index-pages")
+        gone = read.select(*KEY)
         if deleted is not None:
             gone = gone.unionByName(deleted.select(*KEY)).distinct()
         name = uuid.uuid4().hex
         older = self.docs().join(gone, list(KEY), "left_semi")
         older.select(F.col("of").alias("segment"), *KEY, "dl", "terms").write.parquet(self._folder(name, "dead"))
-        tokens = persist_durably(analysed(searchable(pages), list(KEY)), "index-tokens")
-        postings = persist_durably(occurrences(tokens, self.stemmed), "index-postings")
-        links = pages.select(*KEY, F.xxhash64("content").alias("digest"), P.link_targets(F.col("content")).alias("links"))
-        terms = postings.groupBy(*KEY).agg(F.collect_list("term").alias("terms"))
-        docs = tokens.select(*KEY, F.col("dl").cast("long").alias("dl")).join(terms, list(KEY), "left").join(links, list(KEY))
-        docs.withColumn("terms", F.coalesce("terms", F.array().cast("array<string>"))).write.parquet(self._folder(name, "docs"))
-        segment = self._written(name, postings)
+        entries, docs = self._grouped(read)
+        docs.write.parquet(self._folder(name, "docs"))
+        segment = self._written(name, entries)
         self._publish([*self.segments, segment])
         self.compact()
 
+    def _grouped(self, read: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """((key, dl, postings), docs) of stored page entries. Only pages whose terms change or whose key repeats are shuffled."""
+        alone = None
+        if not self.stemmed:
+            again = persist_durably(read.groupBy(*KEY).agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "repeated-keys")
+            known = F.col("postings.term").alias("terms")
+            alone, docs = read, read.dropna(subset=list(KEY)).select(*KEY, "digest", "dl", known, "links")
+            if again.isEmpty():
+                return alone, docs
+            match = reduce(Column.__and__, [read[k].eqNullSafe(again[k]) for k in KEY])
+            alone, read = read.join(again, match, "left_anti"), read.join(again, match, "left_semi")
+            docs = alone.dropna(subset=list(KEY)).select(*KEY, "digest", "dl", known, "links")
+        entries = persist_durably(regrouped(read, self.stemmed), "index-entries")
+        terms = entries.groupBy(*KEY).agg(F.flatten(F.collect_list("postings.term")).alias("terms"))
+        terms = read.select(*KEY, "dl").join(terms, list(KEY), "left").join(read.select(*KEY, "digest", "links"), list(KEY))
+        terms = terms.withColumn("terms", F.coalesce("terms", F.array().cast("array<string>"))).select(*KEY, "digest", "dl", "terms", "links")
+        return (entries, terms) if alone is None else (alone.select(*entries.columns).unionByName(entries), docs.unionByName(terms))
+
     def sync(self, pages: DataFrame, source: int | None = None) -> None:
         """Commit the difference between pages (subdir, name, content; one row per key) and the live ones. Pages are
         compared by key and a hash of their text; only changed texts are read on. ``source`` is the number of the
@@ -170,20 +219,28 @@ class SegmentIndex:
         elif source is not None:
             self._publish(self.segments)
 
-    def _written(self, name: str, postings: DataFrame) -> Row:
-        """Write postings and block headers of a segment whose docs are written; its manifest row."""
+    def _written(self, name: str, found: DataFrame) -> Row:
+        """Write postings and block headers of a segment whose docs are written; its manifest row. ``found`` are the
+        postings, by page or as rows."""
         sizes = self.spark.read.schema(DOCS).parquet(self._folder(name, "docs")).agg(
             F.count("*").alias("pages"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")
         ).first()
         slices = max(1, -(-sizes.pages // self.slice_pages))
         buckets = max(1, -(-sizes.tokens // BUCKET_TOKENS))
         average = sizes.tokens / sizes.pages if sizes.tokens else 1.0
-        # Keys are part of the order, so that the postings of a frequent term are many tasks' work.
-        placed = placed_postings(postings, slices, buckets, average)
-        ranged = placed.repartitionByRange("bucket", "term", "level", "slice", *KEY).sortWithinPartitions("bucket", "term", "level", "slice")
-        ranged.write.partitionBy("bucket").parquet(self._folder(name, "postings"))
-        headers = headers_of(self.spark.read.schema(POSTINGS).parquet(self._folder(name, "postings")))
-        headers.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(self._folder(name, "blocks"))
+        parts = max(1, -(-sizes.tokens // TASK_TOKENS))
+        # A slice lies in one task, so that its blocks are whole there, and a frequent term is many tasks' work.
+        sliced = found.withColumn("slice", slice_of(F.lit(slices)))
+        whole, narrow = sliced, sliced.select("slice", "dl", "term", "f") if "term" in sliced.columns else sliced.select(
+            "slice", "dl", F.arrays_zip("postings.term", "postings.f").alias("postings"))
+        whole, narrow = (
+            placed_postings(df if "term" in df.columns else df.select(*[c for c in df.columns if c != "postings"], F.inline("postings")), buckets, average)
+            for df in (whole.repartition(parts, "slice"), narrow.repartition(parts, "slice"))
+        )
+        order = ["bucket", "term", "level", "slice"]
+        columns = ["term", "level", "slice", *KEY, "dl", "f", "positions", "bucket"]
+        whole.select(*columns).sortWithinPartitions(*order).write.parquet(self._folder(name, "postings"))
+        headers_of(narrow).sortWithinPartitions(*order).write.parquet(self._folder(name, "blocks"))
         return Row(segment=name, ord=0, pages=sizes.pages, tokens=sizes.tokens, slices=slices, buckets=buckets, stemmed=self.stemmed)
 
     def compact(self) -> None:
@@ -267,17 +324,16 @@ class SegmentIndex:
         return df.filter("df > 0")
 
     def postings(self) -> DataFrame:
-        """(key, dl, term, f, positions) of all live pages."""
-        return self.live(self._union("postings", POSTINGS)).select(*KEY, "dl", "term", "f", "positions")
+        """(key, dl, term, f, positions) of all live pages. Segments without dead rows are read as they are."""
+        changed = {r.segment for r in self.dead().select("segment").distinct().collect()}
+        older, whole = ([s for s in self.segments if (s.segment in changed) == c] for c in (True, False))
+        rows = self._union("postings", POSTINGS, whole).unionByName(self.live(self._union("postings", POSTINGS, older)))
+        return rows.select(*KEY, "dl", "term", "f", "positions")
 
 
 # --- search ----------------------------------------------------------------------------------
 
 
-def field_weight(place: Column) -> Column:
-    return F.get(F.array(*[F.lit(K.BM25_WEIGHTS[f]) for f in FIELDS]), F.floor(place / FIELD_STRIDE).cast("int"))
-
-
 def phrase_postings(index: SegmentIndex, phrases: DataFrame) -> DataFrame:
     """(of, key, dl, term, f) of phrases (distinct terms of several words): places where their words are adjacent."""
     words = phrases.select("term", F.size(F.split("term", " ")).alias("words"), F.posexplode(F.split("term", " ")).alias("i", "word"))

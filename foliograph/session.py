@@ -21,6 +21,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Pages of sorted files that hold none of the listed values are not read, also for long lists.
+    "spark.sql.parquet.pushdown.inFilterThreshold": "4096",
     # Rows can hold a long text or its words: few at a time from files and to Python.
     "spark.sql.parquet.columnarReaderBatchSize": "512",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "500",

@@ -118,3 +118,32 @@ def test_a_frequent_term_is_many_stored_rows(spark, tmp_path):
     term = spark.createDataFrame([("common",)], "term string")
     assert index.entries(term).count() == 300
     assert [r.n for r in index.blocks(term).collect()] == [300]
+
+
+def test_a_commit_counts_the_words_of_a_page_inside_its_row(spark, tmp_path):
+    """Neither the words of pages nor their postings are grouped by page across tasks."""
+    rows = [("entities", "Twice", "---\ntype: kv\ntags: [kv, note]\n---\nkv note kv"), ("entities", "Empty", "")]
+    tokens = I.analysed(I.searchable(spark.createDataFrame(rows, SCHEMA)), list(S.KEY))
+    entries = S.page_entries(tokens)
+    assert "Exchange" not in entries._jdf.queryExecution().executedPlan().toString()
+    got = {r.name: [(p.term, p.f, [x >> 32 for x in p.positions]) for p in r.postings] for r in entries.collect()}
+    assert got == {"Twice": [("kv", 10.0, [1, 2, 3, 3]), ("note", 6.0, [2, 3]), ("twice", 10.0, [0])], "Empty": [("empty", 10.0, [0])]}
+    index = S.SegmentIndex(spark, str(tmp_path), False, slice_pages=2)
+    many = [("entities", f"P{i}", f"common word{i}") for i in range(40)]
+    index.commit(spark.createDataFrame(many, SCHEMA))
+    index.commit(spark.createDataFrame(many[:1], SCHEMA))
+    assert index.postings().filter("term = 'common'").count() == 40
+    # Only the segment with a dead row meets the dead rows.
+    plan = index.postings()._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and plan.count("LeftAnti") == 1
+
+
+@pytest.mark.parametrize("stemmed", [False, True])
+def test_pages_of_one_key_and_without_a_name(spark, tmp_path, stemmed):
+    """Pages of one key and length are one in the postings; a page without a name has postings but is no document."""
+    rows = [("entities", "A", "kv graph"), ("entities", "A", "kv model"), ("entities", None, "kv"), ("entities", "B", "kv")]
+    index = S.SegmentIndex(spark, str(tmp_path), stemmed)
+    index.commit(spark.createDataFrame(rows, SCHEMA))
+    got = {(r.name, r.term): (r.f, len(r.positions)) for r in index.postings().filter("term = 'kv'").collect()}
+    assert got == {("A", "kv"): (2.0, 2), (None, "kv"): (1.0, 1), ("B", "kv"): (1.0, 1)}
+    assert sorted(r.name for r in index.docs().collect()) == ["A"] * 4 + ["B"]
