@@ -8,7 +8,8 @@ rows left out, so their number stays logarithmic in the pages.
 The terms of a page are counted and placed inside its row. Rows of pages are dealt by slice, and only then become
 postings: rows sorted by storage bucket, term, impact level and slice of documents; those of one such place are a block,
 and lie in one file. The header of a block has its largest frequency and shortest document, which bound every score in it. A top-k query reads the
-headers first, finds a score that k pages reach, and then reads only blocks that can hold a better page.
+headers first, finds a score that k pages reach, and then reads only blocks that can hold a better page; of those of
+terms that are too frequent to lift a page there, only the postings of pages that other terms found.
 Postings carry positions, so that a phrase is found where its words stand next to each other.
 """
 
@@ -19,7 +20,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliograph import constants as K
@@ -338,14 +339,15 @@ def phrase_postings(index: SegmentIndex, phrases: DataFrame) -> DataFrame:
     """(of, key, dl, term, f) of phrases (distinct terms of several words): places where their words are adjacent."""
     words = phrases.select("term", F.size(F.split("term", " ")).alias("words"), F.posexplode(F.split("term", " ")).alias("i", "word"))
     entries = index.entries(words.select(F.col("word").alias("term")).distinct()).withColumnRenamed("term", "word")
-    rows = entries.select("of", "word", *KEY, "dl", "f", "positions").join(words, "word")
+    starts = F.transform("positions", lambda p: p - F.col("i"))
+    rows = entries.select("of", "word", *KEY, "dl", "positions").join(words, "word").select("term", "of", *KEY, "dl", "words", starts.alias("starts"))
     # Pages that hold every word of a phrase; only their positions are compared.
-    whole = rows.groupBy("term", "of", *KEY).agg(F.count("*").alias("n"), F.first("words").alias("words")).filter("n = words")
-    starts = rows.join(whole.select("term", "of", *KEY), ["term", "of", *KEY], "left_semi").select(
-        "term", "of", *KEY, "dl", "words", F.explode(F.transform("positions", lambda p: p - F.col("i"))).alias("start")
-    )
-    met = starts.groupBy("term", "of", *KEY, "dl", "words", "start").agg(F.count("*").alias("n")).filter("n = words")
-    return index.live(met.groupBy("term", "of", *KEY, "dl").agg(F.sum(field_weight(F.col("start"))).alias("f")))
+    whole = rows.groupBy("term", "of", *KEY, "dl", "words").agg(F.collect_list("starts").alias("starts")).filter(F.size("starts") == F.col("words"))
+    once = lambda s: F.filter(s, lambda v, i: ~F.get(s, i - 1).eqNullSafe(v) & F.get(s, i + F.col("words") - 1).eqNullSafe(v) & ~F.get(s, i + F.col("words")).eqNullSafe(v))
+    met = let(F.sort_array(F.flatten("starts")), once)  # starts that as many words have as the phrase holds
+    found = whole.select("term", "of", *KEY, "dl", met.alias("met")).filter(F.size("met") > 0)
+    f = F.aggregate("met", F.lit(0.0), lambda total, start: total + field_weight(start))
+    return index.live(found.select("term", "of", *KEY, "dl", f.alias("f")))
 
 
 def _idf(df: Column, n: int) -> Column:
@@ -377,28 +379,45 @@ def bounds(index: SegmentIndex, queries: DataFrame, terms: DataFrame) -> tuple[D
 
 
 def _parts(index: SegmentIndex, chosen: DataFrame, average: float) -> DataFrame:
-    """(query_id, of, key, part) of the postings of chosen (query_id, of, term, level, slice, weight)."""
+    """(query_id, of, key, slice, part) of the live postings of chosen (query_id, of, term, level, slice, weight)."""
     names = persist_durably(chosen.select("of", "term", "level", "slice").distinct(), "chosen-blocks")
     read = index.entries(names.select("term").distinct()).join(names, ["of", "term", "level", "slice"], "left_semi")
     rows = index.live(read.select("of", "term", "level", "slice", *KEY, "dl", "f"))
     part = F.col("weight") * saturation(F.col("f"), F.col("dl"), F.lit(average))
-    return rows.join(chosen, ["of", "term", "level", "slice"]).select("query_id", "of", *KEY, part.alias("part"))
+    return rows.join(chosen, ["of", "term", "level", "slice"]).select("query_id", "of", *KEY, "slice", part.alias("part"))
 
 
-def useful_blocks(index: SegmentIndex, bounded: DataFrame, phrases: DataFrame, average: float, k: int) -> DataFrame:
-    """The bounded blocks that can hold one of the best k pages of their query.
+def _kth(sums: DataFrame, k: int) -> DataFrame:
+    """(query_id, reached): the score that k pages of (query_id, key, sum) reach; none for queries with fewer."""
+    best = top_k(sums, ["query_id"], [F.col("sum").desc(), F.col("name"), F.col("subdir")], k).filter(F.col("rank") == k)
+    return best.select("query_id", F.col("sum").alias("reached"))
 
-    A page of a block scores at most the block's bound and, for every other term, the largest bound in its slice. Blocks
-    for which that is below a score that k pages reach are left out."""
+
+def reached_scores(index: SegmentIndex, bounded: DataFrame, phrases: DataFrame, average: float, k: int) -> DataFrame:
+    """(query_id, reached): a score that k pages reach, by the phrases and the blocks of the highest bounds."""
     best = top_k(bounded, ["query_id"], [F.col("bound").desc(), F.col("of"), F.col("term"), F.col("level"), F.col("slice")], 2 * k)
-    seen = _parts(index, best.select("query_id", "of", "term", "level", "slice", "weight"), average)
+    seen = _parts(index, best.select("query_id", "of", "term", "level", "slice", "weight"), average).select("query_id", "of", *KEY, "part")
     sums = seen.unionByName(phrases.select("query_id", "of", *KEY, "part")).groupBy("query_id", *KEY).agg(F.sum("part").alias("sum"))
-    reached = top_k(sums, ["query_id"], [F.col("sum").desc(), F.col("name"), F.col("subdir")], k).filter(F.col("rank") == k)
-    reached = reached.select("query_id", F.col("sum").alias("reached"))
+    return _kth(sums, k)
+
+
+def _largest(bounded: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(query_id, of, slice, term, largest): the highest bound of a term in a slice."""
     each = bounded.select("query_id", "of", "slice", "term", "bound").unionByName(
         phrases.select("query_id", "of", "slice", "term", F.col("part").alias("bound"))
     )
-    largest = each.groupBy("query_id", "of", "slice", "term").agg(F.max("bound").alias("largest"))
+    return each.groupBy("query_id", "of", "slice", "term").agg(F.max("bound").alias("largest"))
+
+
+def useful_blocks(
+    index: SegmentIndex, bounded: DataFrame, phrases: DataFrame, average: float, k: int, reached: DataFrame | None = None
+) -> DataFrame:
+    """The bounded blocks that can hold one of the best k pages of their query.
+
+    A page of a block scores at most the block's bound and, for every other term, the largest bound in its slice. Blocks
+    for which that is below a score that k pages reach are left out."""
+    reached = reached_scores(index, bounded, phrases, average, k) if reached is None else reached
+    largest = _largest(bounded, phrases)
     whole = largest.groupBy("query_id", "of", "slice").agg(F.sum("largest").alias("whole"))
     place = ["query_id", "of", "slice"]
     tried = bounded.join(largest, [*place, "term"]).join(whole, place).join(reached, "query_id", "left")
@@ -406,15 +425,56 @@ def useful_blocks(index: SegmentIndex, bounded: DataFrame, phrases: DataFrame, a
     return tried.filter(F.col("reached").isNull() | (most >= F.col("reached") - MARGIN)).select(*bounded.columns)
 
 
+def best_scores(index: SegmentIndex, chosen: DataFrame, phrases: DataFrame, reached: DataFrame, average: float, k: int) -> DataFrame:
+    """(query_id, key, score) of the pages that can be among the best k, from useful blocks.
+
+    The terms of a slice whose largest bounds together stay below the score that k pages reach lift no page to it
+    alone. Pages are found by the other terms; the postings of these are read only for pages that can still get there."""
+    place = ["query_id", "of", "slice"]
+    upto = F.sum("largest").over(Window.partitionBy(*place).orderBy("largest", "term").rowsBetween(Window.unboundedPreceding, 0))
+    terms = _largest(chosen, phrases).withColumn("upto", upto).join(reached, "query_id", "left")
+    minor = persist_durably(
+        terms.withColumn("minor", F.coalesce(F.col("upto") < F.col("reached") - MARGIN, F.lit(False))).filter("minor").select(*place, "term", "upto"),
+        "minor-terms",
+    )
+    lesser = minor.select(*place, "term")
+    finding = chosen.join(lesser, [*place, "term"], "left_anti").drop("bound", "n")
+    columns = ["query_id", "of", *KEY, "slice"]
+    parts = _parts(index, finding, average).unionByName(phrases.select(*columns, "part"))
+    sums = persist_durably(parts.groupBy(*columns).agg(F.sum("part").alias("sum")), "first-sums")
+    more = minor.groupBy(*place).agg(F.max("upto").alias("more"))
+    again = _kth(sums, k).withColumnRenamed("reached", "again")
+    least = F.greatest("reached", "again") - MARGIN
+    tried = sums.join(more, place, "left").join(reached, "query_id", "left").join(again, "query_id", "left")
+    able = F.coalesce(F.col("sum") + F.coalesce("more", F.lit(0.0)) >= least, F.lit(True))
+    left = persist_durably(tried.filter(able).select(*columns, "sum"), "able-pages")
+    # These pages are live, and few: the postings of frequent terms meet them before they meet the queries.
+    rest = chosen.join(lesser, [*place, "term"], "left_semi").join(left.select(*place).distinct(), place, "left_semi")
+    rest = persist_durably(rest.select(*place, "term", "level", "weight"), "minor-blocks")
+    read = index.entries(rest.select("term").distinct()).select("of", "term", "level", "slice", *KEY, "dl", "f")
+    pages = left.select("of", *KEY).distinct().withColumnsRenamed({"of": "l_of", **{c: f"l_{c}" for c in KEY}})
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"l_{c}")) for c in ("of", *KEY)])
+    near = read.join(pages, same).drop(*pages.columns)
+    part = F.col("weight") * saturation(F.col("f"), F.col("dl"), F.lit(average))
+    added = near.join(rest, ["of", "term", "level", "slice"]).select(*columns, part.alias("part"))
+    scores = left.withColumnRenamed("sum", "part").withColumn("found", F.lit(1)).unionByName(added.withColumn("found", F.lit(0)))
+    scores = scores.groupBy(*columns).agg(F.sum("part").alias("score"), F.max("found").alias("found")).filter("found = 1")
+    return scores.groupBy("query_id", *KEY).agg(F.sum("score").alias("score"))
+
+
 def top_pages(queries: DataFrame, index: SegmentIndex, k: int, prune: bool = True) -> DataFrame:
     """(query_id, subdir, name, score, rank): best k live pages of every query by BM25."""
     terms = persist_durably(query_terms(queries, index.stemmed), "query-terms")
     bounded, phrases, average = bounds(index, queries, terms)
     bounded = persist_durably(bounded, "bounds")
     phrases = persist_durably(phrases, "phrase-scores")
-    chosen = persist_durably(useful_blocks(index, bounded, phrases, average, k), "useful-blocks") if prune else bounded
-    parts = _parts(index, chosen.drop("bound", "n"), average).unionByName(phrases.select("query_id", "of", *KEY, "part"))
-    scores = parts.groupBy("query_id", *KEY).agg(F.sum("part").alias("score"))
+    if prune:
+        reached = persist_durably(reached_scores(index, bounded, phrases, average, k), "reached")
+        chosen = persist_durably(useful_blocks(index, bounded, phrases, average, k, reached), "useful-blocks")
+        scores = best_scores(index, chosen, phrases, reached, average, k)
+    else:
+        parts = _parts(index, bounded.drop("bound", "n"), average).unionByName(phrases.select("query_id", "of", *KEY, "slice", "part"))
+        scores = parts.groupBy("query_id", *KEY).agg(F.sum("part").alias("score"))
     return top_k(scores, ["query_id"], [F.round("score", 9).desc(), F.col("name"), F.col("subdir")], k)
 
 

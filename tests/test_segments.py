@@ -147,3 +147,19 @@ def test_pages_of_one_key_and_without_a_name(spark, tmp_path, stemmed):
     got = {(r.name, r.term): (r.f, len(r.positions)) for r in index.postings().filter("term = 'kv'").collect()}
     assert got == {("A", "kv"): (2.0, 2), (None, "kv"): (1.0, 1), ("B", "kv"): (1.0, 1)}
     assert sorted(r.name for r in index.docs().collect()) == ["A"] * 4 + ["B"]
+
+
+def test_frequent_terms_are_scored_only_on_pages_that_others_found(spark, tmp_path):
+    """Pages that hold only a frequent word cannot be among the best, and get no score; the others get their whole one."""
+    rows = [("entities", f"P{i}", "common " * (i % 5 + 1) + f"w{i}") for i in range(300)]
+    rows += [("entities", f"R{i}", "rare common " + "word " * i) for i in range(8)]
+    index = S.SegmentIndex(spark, str(tmp_path), False, slice_pages=20)
+    index.commit(spark.createDataFrame(rows, SCHEMA))
+    qs = spark.createDataFrame([(1, "rare common")], "query_id int, text string")
+    bounded, phrases, average = S.bounds(index, qs, R.query_terms(qs))
+    reached = S.reached_scores(index, bounded, phrases, average, 5)
+    chosen = S.useful_blocks(index, bounded, phrases, average, 5, reached)
+    scored = S.best_scores(index, chosen, phrases, reached, average, 5).select("name").collect()
+    assert 5 <= len(scored) <= 8 and all(r.name.startswith("R") for r in scored)
+    whole, cut = (S.top_pages(qs, index, 5, prune).select("name", "rank", F.round("score", 9)).collect() for prune in (False, True))
+    assert sorted(map(tuple, whole)) == sorted(map(tuple, cut)) and len(cut) == 5
